@@ -1,6 +1,6 @@
 """All registered queries; importing the groups fills the registry."""
 
-from rowmill.plans import cleaning, profiling, structuring  # noqa: F401
+from rowmill.plans import browsing, cleaning, loading, profiling, records, structuring  # noqa: F401
 from rowmill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
