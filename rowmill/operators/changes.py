@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -191,8 +192,9 @@ class ChangeBook:
         return newest.select("change_id", "r.*")
 
     def _write(self, **row: object) -> None:
-        row["seq"] = self.log().count()
-        out = self.store.spark.createDataFrame([tuple(row.get(c) for c in self.log().columns)], _LOG)
+        row["seq"] = time.time_ns()
+        names = [field.split()[0] for field in _LOG.split(", ")]
+        out = self.store.spark.createDataFrame([tuple(row.get(c) for c in names)], _LOG)
         out.coalesce(1).write.mode("append").parquet(self.path)
 
     def _state(self, change_id: str, *expected: str) -> dict:

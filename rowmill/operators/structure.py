@@ -104,35 +104,46 @@ def functional_deps(df: DataFrame, key: str, attributes: Sequence[str]) -> DataF
 
 
 def cluster_evidence(df: DataFrame, options: ImportOptions = DEFAULTS) -> DataFrame:
-    """Sub-entity candidates: for every prefix cluster, each member tried as the key of the others.
+    """Sub-entity candidates: for every prefix cluster, each member considered as the key of the others.
 
-    ``cluster, key, attributes, row_count, distinct_values, determined, is_entity``. A member is an
-    entity key when it has no gaps, repeats often enough and fixes all other members, and the
+    ``cluster, key, attributes, row_count, distinct_values, tested, determined, is_entity``. A member is
+    an entity key when it has no gaps, repeats often enough and fixes all other members, and the
     document is not too small to be worth splitting.
+
+    Distinct counts come first and rule most members out before any dependency is tested: a key cannot
+    fix a column that has more distinct values than itself.
     """
     clusters = prefix_clusters(df.columns)
     if not clusters:
         raise ValueError("no columns share a prefix")
-    deps = []
-    for head, members in clusters.items():
-        for key in members:
-            others = [m for m in members if m != key]
-            one = functional_deps(df, key, others).groupBy("key").agg(
-                F.count(F.lit(1)).alias("attributes"), F.count_if("holds").alias("determined")
-            )
-            deps.append(one.select(F.lit(head).alias("cluster"), "*"))
     members = [m for ms in clusters.values() for m in ms]
     counts = column_stats(df.select(*[f"`{m}`" for m in members])).join(distinct_counts(df, members), "column", "left")
-    counts = counts.select(F.col("column").alias("key"), "row_count", "null_count", "distinct_values")
-    out = union_all(deps).join(counts, "key")
-    entity = (
-        (F.col("determined") == F.col("attributes"))
-        & (F.col("null_count") == 0)
-        & (F.col("row_count") >= options.flat_below_rows)
-        & (F.col("row_count") >= F.col("distinct_values") * options.min_repetition)
-    )
+    facts = {
+        r["column"]: r
+        for r in counts.select("column", "row_count", "null_count", F.coalesce("distinct_values", F.lit(0)).alias("d")).collect()
+    }
+    rows, deps = [], []
+    for head, names in clusters.items():
+        widest = max(facts[m]["d"] for m in names)
+        for key in names:
+            f = facts[key]
+            tested = (
+                f["null_count"] == 0
+                and f["row_count"] >= options.flat_below_rows
+                and f["row_count"] >= f["d"] * options.min_repetition
+                and f["d"] >= widest
+            )
+            rows.append((head, key, len(names) - 1, f["row_count"], f["d"], tested))
+            if tested:
+                deps.append(functional_deps(df, key, [m for m in names if m != key]))
+    schema = "cluster string, key string, attributes long, row_count long, distinct_values long, tested boolean"
+    candidates = df.sparkSession.createDataFrame(rows, schema)
+    if not deps:
+        return candidates.withColumns({"determined": F.lit(0).cast("long"), "is_entity": F.lit(False)})
+    fixed = union_all(deps).groupBy("key").agg(F.count_if("holds").alias("determined"))
+    out = candidates.join(fixed, "key", "left").withColumn("determined", F.coalesce("determined", F.lit(0)))
     return out.select(
-        "cluster", "key", "attributes", "row_count", "distinct_values", "determined", entity.alias("is_entity")
+        *candidates.columns, "determined", (F.col("tested") & (F.col("determined") == F.col("attributes"))).alias("is_entity")
     )
 
 

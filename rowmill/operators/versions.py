@@ -9,6 +9,7 @@ project is assumed.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -22,7 +23,7 @@ from rowmill.operators.proposal import load_matches
 from rowmill.operators.catalog import column_rows
 
 _MANIFEST = "table string, path string, schema string, part int"
-_SNAPSHOT = "version long, state string, at_version long"
+_SNAPSHOT = "version long, state string, at long"
 
 
 class VersionStore:
@@ -125,12 +126,12 @@ class VersionStore:
             return self.spark.createDataFrame([], _SNAPSHOT)
 
     def _note(self, version: int, state: str) -> None:
-        row = self.spark.createDataFrame([(version, state, self._log().count())], _SNAPSHOT)
+        row = self.spark.createDataFrame([(version, state, time.time_ns())], _SNAPSHOT)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
 
     def snapshots(self) -> DataFrame:
         """``version`` of every usable snapshot."""
-        state = self._log().groupBy("version").agg(F.max_by("state", "at_version").alias("state"))
+        state = self._log().groupBy("version").agg(F.max_by("state", "at").alias("state"))
         return state.filter("state = 'kept'").select("version")
 
     def snapshot(self) -> int:

@@ -10,6 +10,7 @@ from rowmill.plans import views as V
 from rowmill.plans.importer import split_flat
 from rowmill.plans.profiling import CUSTOMER, ORDERS, column_profile_sql, load_type_sql
 from rowmill.plans.registry import query
+from rowmill.session import materialize
 from rowmill.sources.tables import read_table, read_tables
 
 LINEITEM = [
@@ -71,17 +72,18 @@ _CLUSTERS = {
 def _evidence_sql() -> str:
     parts = []
     for head, members in _CLUSTERS.items():
+        widest = "greatest(" + ", ".join(f"(SELECT count(DISTINCT {m}) FROM flat_sales)" for m in members) + ")"
         for key in members:
             deps = " UNION ALL ".join(_dep_sql(key, m) for m in members if m != key)
             parts.append(
-                f"""SELECT '{head}' AS cluster, '{key}' AS key, (SELECT count(*) FROM ({deps})) AS attributes,
+                f"""SELECT '{head}' AS cluster, '{key}' AS key, {len(members) - 1} AS attributes,
                 count(*) AS row_count, count(DISTINCT {key}) AS distinct_values,
-                (SELECT count(*) FILTER (WHERE holds) FROM ({deps})) AS determined, count(*) - count({key}) AS gaps
-                FROM flat_sales"""
+                count({key}) = count(*) AND count(*) >= 30 AND count(*) >= 2 * count(DISTINCT {key})
+                  AND count(DISTINCT {key}) >= {widest} AS tested,
+                (SELECT count(*) FILTER (WHERE holds) FROM ({deps})) AS fixed FROM flat_sales"""
             )
-    return f"""SELECT cluster, key, attributes, row_count, distinct_values, determined,
-      determined = attributes AND gaps = 0 AND row_count >= 30 AND row_count >= 2 * distinct_values AS is_entity
-      FROM ({" UNION ALL ".join(parts)})"""
+    return f"""SELECT cluster, key, attributes, row_count, distinct_values, tested, CASE WHEN tested THEN fixed ELSE 0 END AS determined,
+      tested AND fixed = attributes AS is_entity FROM ({" UNION ALL ".join(parts)})"""
 
 
 @query(f"WITH {V.FLAT_SALES} {_evidence_sql()}")
@@ -303,7 +305,7 @@ UNION ALL SELECT 'parts', count(DISTINCT part_id) FROM flat_sales
 UNION ALL SELECT 'sales', count(*) FROM flat_sales""")
 def split_flat_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence, choice of keys and split of the flat sales; rows per resulting table."""
-    tables, _ = split_flat(V.flat_sales(spark, folder), "sales")
+    tables, _ = split_flat(materialize(V.flat_sales(spark, folder), "flat"), "sales")
     return catalog.row_counts(tables).withColumnRenamed("table", "table_name")
 
 

@@ -71,9 +71,12 @@ def read_delimited(
     names = reader.csv(found).columns
     schema = ", ".join(f"`{n}` string" for n in names)
     rows = reader.schema(f"{schema}, {CORRUPT} string").csv(found)
-    rows = rows.withColumn(SOURCE, F.col("_metadata.file_path"))
-    whole = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    ragged = rows.filter(F.col(CORRUPT).isNotNull()).select(SOURCE, F.col(CORRUPT).alias("record"))
+    # The scan refuses to serve the corrupt column alone (a plain count would), so an empty slice of
+    # the first cell travels with it.
+    mark = F.concat_ws("", F.col(CORRUPT), F.substring(F.col(f"`{names[0]}`"), 1, 0))
+    rows = rows.withColumns({SOURCE: F.col("_metadata.file_path"), CORRUPT: mark})
+    whole = rows.filter(F.col(CORRUPT) == "").drop(CORRUPT)
+    ragged = rows.filter(F.col(CORRUPT) != "").select(SOURCE, F.col(CORRUPT).alias("record"))
     return whole, ragged
 
 

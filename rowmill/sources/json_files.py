@@ -13,27 +13,41 @@ def _has_corrupt(df: DataFrame) -> bool:
     return "_corrupt_record" in df.columns
 
 
+def _reader(spark: SparkSession, whole: bool):
+    # Looking through sub-folders also keeps folder names from turning into columns.
+    return spark.read.option("recursiveFileLookup", True).option("multiLine", whole)
+
+
 def json_shape(spark: SparkSession, path: str) -> str:
-    """``array``, ``object``, ``lines`` or ``none``.
+    """``array``, ``object``, ``lines`` or ``none`` for a document, or for a folder of alike documents.
 
-    Decided from the first two non-blank lines where possible: a first line that is a whole object
-    followed by another line can only be line-delimited, and reading such a file as one document
-    would silently keep its first object only.
+    Decided from the first two non-blank lines of one file where possible: a first line that is a
+    whole object followed by another line can only be line-delimited, and reading such a file as one
+    document would silently keep its first object only.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''")
-    head = lines.select("v", F.try_parse_json("v").isNotNull().alias("whole")).limit(2).collect()
-    if not head:
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("f")).filter("v <> ''")
+    one = lines.select("f").limit(1).collect()
+    if not one:
         return "none"
+    head = (
+        lines.filter(F.col("f") == one[0]["f"])
+        .select("v", F.try_parse_json("v").isNotNull().alias("whole"))
+        .limit(2)
+        .collect()
+    )
     first = head[0]["v"]
     if first.startswith("{") and head[0]["whole"] and len(head) > 1:
         return "lines"
     if first[0] not in "[{":
         return "none"
-    whole = spark.read.option("multiLine", True).json(path)
+    whole = _reader(spark, True).json(path)
     if first.startswith("["):
         return "none" if _has_corrupt(whole) or not whole.columns else "array"
     fields = whole.schema.fields
-    if fields and all(isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType) for f in fields):
+    if fields and all(
+        isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType) for f in fields
+    ):
         return "object"
     return "lines" if len(head) == 1 and not _has_corrupt(whole) else "none"
 
@@ -42,14 +56,14 @@ def read_json(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], lis
     """Regions of the document and notes; an unreadable document gives a note, not an error."""
     shape = json_shape(spark, path)
     if shape == "array":
-        return {"default": spark.read.option("multiLine", True).json(path)}, []
+        return {"default": _reader(spark, True).json(path)}, []
     if shape == "lines":
-        rows = spark.read.json(path)
+        rows = _reader(spark, False).json(path)
         if _has_corrupt(rows):
             return {}, ["JSON parse failed: a line is not an object."]
         return {"default": rows}, []
     if shape == "object":
-        whole = spark.read.option("multiLine", True).json(path)
+        whole = _reader(spark, True).json(path)
         return {f: whole.select(F.inline(F.col(f"`{f}`"))) for f in whole.columns}, []
     return {}, [NO_SHAPE]
 

@@ -8,15 +8,22 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.session import materialize
+
+# Executors need not have this package installed: the parser travels with its tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELLS = "file string, sheet string, sheet_no int, row_no long, cells array<string>"
 _BATCH = 2000
 # Built-in number formats that show a date or a time.
@@ -137,38 +144,46 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         yield pd.DataFrame(pending, columns=["file", "sheet", "sheet_no", "row_no", "cells"])
 
 
-def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """``file, sheet, sheet_no, row_no, cells`` of every non-empty row of every sheet under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """``file, sheet, sheet_no, row_no, cells`` of every non-empty row; ``files`` has ``path, content``."""
     return files.select("path", "content").mapInPandas(_parse, CELLS)
 
 
+def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, content`` of the workbooks below ``path``."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True)
+    return reader.load(path)
+
+
 def sheet_headers(cells: DataFrame) -> DataFrame:
     """``file, sheet, header``: the first non-empty row of each sheet."""
-    return cells.groupBy("file", "sheet").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("row_no"))
+    return cells.groupBy("file", "sheet").agg(
+        F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("row_no"), F.min("sheet_no").alias("sheet_no")
+    )
 
 
-def read_workbooks(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
+def workbook_regions(cells: DataFrame) -> tuple[dict[str, DataFrame], list[str]]:
     """One region per sheet name over all workbooks, as text columns in sheet order, and notes.
 
-    Sheets without rows do not appear. Workbooks of one collection share the header of a sheet; a
-    workbook with another column order is aligned by name.
+    Sheets without rows do not appear. Columns are found by name, so workbooks of one collection may
+    order them differently. Only the distinct headers reach the driver.
     """
-    cells = workbook_cells(spark, path)
     headers = sheet_headers(cells)
-    layouts = headers.select("sheet", "header").distinct().orderBy("sheet").collect()
-    order = {r["sheet"]: r["n"] for r in cells.groupBy("sheet").agg(F.min("sheet_no").alias("n")).collect()}
+    layouts = headers.groupBy("sheet", "header").agg(F.min("sheet_no").alias("n")).orderBy("n", "sheet", "header").collect()
     regions: dict[str, DataFrame] = {}
-    for sheet in sorted({r["sheet"] for r in layouts}, key=lambda s: (order[s], s)):
-        names: list[str] = []
-        for r in layouts:
-            if r["sheet"] == sheet:
-                names += [h for h in r["header"] if h is not None and h not in names]
-        marks = headers.filter(F.col("sheet") == sheet).select(
-            F.col("file").alias("_f"), F.col("header"), F.col("row_no").alias("_h")
-        )
+    for sheet in dict.fromkeys(r["sheet"] for r in layouts):
+        names = list(dict.fromkeys(h for r in layouts if r["sheet"] == sheet for h in r["header"] if h is not None))
+        marks = headers.filter(F.col("sheet") == sheet).select(F.col("file").alias("_f"), "header", F.col("row_no").alias("_h"))
         body = cells.filter(F.col("sheet") == sheet).join(marks, F.col("file") == F.col("_f")).filter("row_no > _h")
         regions[sheet] = body.select(
-            *[F.try_element_at("cells", F.array_position("header", n).cast("int")).alias(n) for n in names]
+            *[F.get("cells", (F.array_position("header", n) - 1).cast("int")).alias(n) for n in names]
         )
     return regions, [] if regions else ["XLSX file contains no non-empty sheets."]
+
+
+def read_workbooks(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """Regions of the workbooks below ``path``.
+
+    The cells are parsed once and stored, because headers and every sheet read them again.
+    """
+    return workbook_regions(materialize(workbook_cells(workbook_files(spark, path)), "workbook"))
