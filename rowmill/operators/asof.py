@@ -41,9 +41,9 @@ def asof_join(
         probes.select(*by, slot, at, F.lit(1).alias("_side"), empty.alias("_v"))
     )
     # One row per (by, slot): its last reference row; the window then carries it to later slots.
-    last = merged.groupBy(*by, "_slot").agg(
-        F.max_by("_v", F.when(F.col("_side") == 0, F.col(at))).alias("_last")
-    )
+    held = quotes.groupBy(*by, slot).agg(F.max_by("_v", at).alias("_last"))
+    asked = probes.select(*by, slot).distinct()
+    last = asked.join(held, [*by, "_slot"], "full_outer")
     before = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     carried = last.select(*by, "_slot", F.last("_last", ignorenulls=True).over(before).alias("_v"))
     carried = carried.filter(F.col("_v").isNotNull())
@@ -62,11 +62,11 @@ def asof_join(
 def convert_currency(
     df: DataFrame, rates: DataFrame, amount: str, currency: str, at: str, name: str, base: str = "USD"
 ) -> DataFrame:
-    """``name``: the amount in the base currency at the rate valid on ``at``.
+    """``name``: the amount in the base currency at the rate valid on ``at``, and that ``rate``.
 
-    ``rates`` has ``currency`` (same column name), ``day`` and ``rate``; the base itself needs no rate.
+    ``rates`` has ``currency``, ``day`` and ``rate``; the base itself needs no rate.
     """
     keyed = rates.select(F.col("currency").alias(currency), "day", "rate")
     priced = asof_join(df, keyed, [currency], at, "day", ["rate"])
     factor = F.when(F.col(currency) == base, F.lit(1)).otherwise(F.col("rate"))
-    return priced.withColumn(name, F.col(amount) * factor).drop("rate")
+    return priced.withColumn(name, F.col(amount) * factor)

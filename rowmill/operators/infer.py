@@ -65,40 +65,64 @@ def fits(c: Column, kind: str) -> Column:
     return text.rlike(PATTERNS[kind]) & text.try_cast(_CASTS[kind]).isNotNull()
 
 
+# Codes of :func:`cell_kind`, numbers because they are compared per cell.
+KINDS = {"string": 0, "bool": 1, "int": 2, "float": 3, "date": 4, "datetime": 5}
+
+
+def cell_kind(c: Column) -> Column:
+    """Code of the narrowest kind of one text cell, NULL for an empty one.
+
+    Cells that start like a word skip the number and date tests.
+    """
+    kind = F.when(F.lower(c).isin("true", "false"), KINDS["bool"])
+    kind = kind.when(~F.substring(c, 1, 1).isin(*"+-.0123456789"), KINDS["string"])
+    for name in ("int", "float", "date", "datetime"):
+        kind = kind.when(fits(c, name), KINDS[name])
+    return F.when(c.isNotNull(), kind.otherwise(KINDS["string"]))
+
+
 def infer_types(df: DataFrame, columns: Iterable[str] | None = None, first_rows: int | None = None) -> DataFrame:
-    """Narrowest type every non-null cell of each text column fits, in one aggregate pass.
+    """Narrowest type every non-null cell of each text column fits, in one pass.
 
     Rows: ``pos, column, row_count, non_null, int_count, float_count, bool_count, date_count,
     datetime_count, max_length, inferred_type, load_type``. ``first_rows`` restricts the look to a
     leading window, as the sampled readers do; by default every cell counts, so a late odd value
     cannot make the load fail.
+
+    The columns are stacked, so the tests are compiled once however wide the table is, and a task
+    sends one row per column.
     """
     names = list(columns or df.columns)
-    source = df.select(*names)
+    source = df.select(*[f"`{n}`" for n in names])
     if first_rows is not None:
         source = source.limit(first_rows)
-    parts = [F.count(F.lit(1)).alias("n")]
-    for i, name in enumerate(names):
-        c = F.col(f"`{name}`")
-        parts.append(F.count(c).alias(f"nn{i}"))
-        parts += [F.count_if(fits(c, kind)).alias(f"{kind}{i}") for kind in PATTERNS]
-        number = F.when(c.rlike(PATTERNS["int"]), c.try_cast("bigint"))
-        parts += [F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}")]
-        parts.append(F.max(F.length(c)).alias(f"len{i}"))
-    rows = [
-        F.struct(
-            F.lit(i).alias("pos"),
-            F.lit(name).alias("column"),
-            F.col("n").alias("row_count"),
-            F.col(f"nn{i}").alias("non_null"),
-            *[F.col(f"{kind}{i}").alias(f"{kind}_count") for kind in PATTERNS],
-            F.col(f"lo{i}").alias("min_int"),
-            F.col(f"hi{i}").alias("max_int"),
-            F.coalesce(F.col(f"len{i}"), F.lit(0)).alias("max_length"),
-        )
-        for i, name in enumerate(names)
-    ]
-    out = source.agg(*parts).select(F.inline(F.array(*rows)))
+    stacked = [x for i, n in enumerate(names) for x in (F.lit(i), F.col(f"`{n}`").cast("string"))]
+    cells = source.select(F.stack(F.lit(len(names)), *stacked).alias("pos", "value"))
+    cells = cells.withColumn("kind", cell_kind(F.col("value")))
+    whole = F.when(F.col("kind") == KINDS["int"], F.col("value").try_cast("bigint"))
+
+    def counted(*kinds: str) -> Column:
+        return F.count_if(F.col("kind").isin(*[KINDS[k] for k in kinds]))
+
+    found = cells.groupBy("pos").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count("value").alias("non_null"),
+        counted("int").alias("int_count"),
+        counted("int", "float").alias("float_count"),
+        counted("bool").alias("bool_count"),
+        counted("date").alias("date_count"),
+        counted("datetime").alias("datetime_count"),
+        F.min(whole).alias("min_int"),
+        F.max(whole).alias("max_int"),
+        F.coalesce(F.max(F.length("value")), F.lit(0)).alias("max_length"),
+    )
+    # A column of an empty table has no cells but is still a column.
+    every = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("column")) for i, n in enumerate(names)])
+    layout = df.sparkSession.range(1).select(F.inline(every))
+    counts = [c for c in found.columns if c not in ("pos", "min_int", "max_int")]
+    out = layout.join(found, "pos", "left").select(
+        "pos", "column", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "min_int", "max_int"
+    )
     full = F.col("non_null")
     inferred = F.when(full == 0, "null")
     # A whole number is also a float, and a date column may carry times, so the wider type counts both.

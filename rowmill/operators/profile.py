@@ -46,68 +46,74 @@ def column_stats(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def _value_class(dtype: str) -> str:
-    """Type in which values of a column are grouped; numbers stay numbers to keep keys short."""
+# Columns that carry a cell's value in the long form: exactly one of them is filled.
+VALUES = ("as_long", "as_double", "as_text")
+
+
+def _typed_cells(c: Column, dtype: str) -> list[Column]:
+    """The cell under the value column of its class; numbers and times stay numbers to keep keys short."""
+    empty = [F.lit(None).cast(t) for t in ("bigint", "double", "string")]
     if dtype in ("tinyint", "smallint", "int", "bigint"):
-        return "bigint"
-    if dtype in ("float", "double"):
-        return "double"
-    return "string"
+        empty[0] = c.cast("bigint")
+    elif dtype == "boolean":
+        empty[0] = c.cast("int").cast("bigint")
+    elif dtype == "date":
+        empty[0] = F.unix_date(c).cast("bigint")
+    elif dtype in ("timestamp", "timestamp_ntz"):
+        empty[0] = F.unix_micros(c.cast("timestamp"))
+    elif dtype in ("float", "double"):
+        empty[1] = c.cast("double")
+    else:
+        empty[2] = flat_text(c, dtype)
+    return empty
 
 
 def long_cells(
     tables: Mapping[str, DataFrame], wanted: Callable[[str, str, str], bool] | None = None
-) -> tuple[list[tuple[str, str]], dict[str, DataFrame]]:
-    """Non-null cells of many tables as ``cid, value`` per value class.
+) -> tuple[list[tuple[str, str]], DataFrame]:
+    """Non-null cells of many tables as ``cid`` and the value columns.
 
-    ``cid`` numbers the returned (table, column) list, so grouping keys stay short and all tables share
-    one shuffle per class.
+    ``cid`` numbers the returned (table, column) list, so grouping keys stay short and all columns of
+    all tables share one scan per table and one shuffle.
     """
     ids: list[tuple[str, str]] = []
-    classes: dict[str, list[DataFrame]] = {}
+    frames = []
     for table, df in tables.items():
-        members: dict[str, list[tuple[int, str, str]]] = {}
+        stacked: list[Column] = []
         for name, dtype in df.dtypes:
             if wanted is None or wanted(table, name, dtype):
-                members.setdefault(_value_class(dtype), []).append((len(ids), name, dtype))
+                stacked += [F.lit(len(ids)), *_typed_cells(F.col(f"`{name}`"), dtype)]
                 ids.append((table, name))
-        for kind, cols in members.items():
-            cells = [
-                (flat_text(F.col(f"`{n}`"), t) if kind == "string" else F.col(f"`{n}`").cast(kind)).alias(str(i))
-                for i, n, t in cols
-            ]
-            long = df.select(*cells).unpivot([], [f"`{i}`" for i, _, _ in cols], "cid", "value")
-            long = long.filter(F.col("value").isNotNull()).select(F.col("cid").cast("int").alias("cid"), "value")
-            classes.setdefault(kind, []).append(long)
-    return ids, {kind: union_all(frames) for kind, frames in classes.items()}
-
-
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> list[DataFrame]:
-    """Per value class, ``column, value, n`` over the non-null cells."""
+        if stacked:
+            long = df.select(F.stack(F.lit(len(stacked) // 4), *stacked).alias("cid", *VALUES))
+            frames.append(long.filter(_filled()))
+    return ids, union_all(frames)
+
+
+def _filled() -> Column:
+    return F.col(VALUES[0]).isNotNull() | F.col(VALUES[1]).isNotNull() | F.col(VALUES[2]).isNotNull()
+
+
+def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``column``, the value columns and ``n`` over the non-null cells."""
     keep = set(columns if columns is not None else df.columns)
-    ids, classes = long_cells({"": df}, lambda _, name, __: name in keep)
+    ids, cells = long_cells({"": df}, lambda _, name, __: name in keep)
     names = F.array(*[F.lit(name) for _, name in ids])
-    return [
-        long.groupBy("cid", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.get(names, F.col("cid")).alias("column"), "value", "n")
-        for long in classes.values()
-    ]
+    counted = cells.groupBy("cid", *VALUES).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.get(names, F.col("cid")).alias("column"), *VALUES, "n")
 
 
-def _distinct_by_id(classes: Mapping[str, DataFrame]) -> DataFrame:
+def _distinct_by_id(cells: DataFrame) -> DataFrame:
     """``cid, distinct_values``: distinct pairs first, then one count per column."""
-    return union_all(
-        [long.distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_values")) for long in classes.values()]
-    )
+    return cells.distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_values"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, distinct_values`` (NULL not counted) with exact counts."""
     keep = set(columns if columns is not None else df.columns)
-    ids, classes = long_cells({"": df}, lambda _, name, __: name in keep)
+    ids, cells = long_cells({"": df}, lambda _, name, __: name in keep)
     names = F.array(*[F.lit(name) for _, name in ids])
-    return _distinct_by_id(classes).select(F.get(names, F.col("cid")).alias("column"), "distinct_values")
+    return _distinct_by_id(cells).select(F.get(names, F.col("cid")).alias("column"), "distinct_values")
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -115,13 +121,13 @@ def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     NULL counts as one distinct value.
     """
-    ids, classes = long_cells(tables)
+    ids, cells = long_cells(tables)
     number = {pair: i for i, pair in enumerate(ids)}
     stats = []
     for region, df in tables.items():
         first = number[(region, df.columns[0])]
         stats.append(column_stats(df).select((F.col("pos") + first).alias("cid"), F.lit(region).alias("region"), "*"))
-    joined = union_all(stats).join(_distinct_by_id(classes), "cid", "left")
+    joined = union_all(stats).join(_distinct_by_id(cells), "cid", "left")
     return joined.select(
         "region",
         "pos",

@@ -55,15 +55,10 @@ def repeated_identifiers(df: DataFrame, options: ImportOptions = DEFAULTS) -> Da
 
     ``column, row_count, distinct_values, repetition, largest_group, repeated``.
     """
-    groups = union_all(
-        [
-            v.groupBy("column").agg(
-                F.count(F.lit(1)).alias("distinct_values"),
-                F.sum("n").alias("filled"),
-                F.max("n").alias("largest_group"),
-            )
-            for v in value_counts(df)
-        ]
+    groups = value_counts(df).groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct_values"),
+        F.sum("n").alias("filled"),
+        F.max("n").alias("largest_group"),
     )
     out = groups.withColumn("repetition", F.col("filled") / F.col("distinct_values"))
     return out.select(
@@ -78,14 +73,16 @@ def repeated_identifiers(df: DataFrame, options: ImportOptions = DEFAULTS) -> Da
 def functional_deps(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
     """``key, attribute, groups, violations, holds``: does each key value fix each attribute?
 
-    One grouping tests all attributes: a group agrees when its smallest and largest value are equal
-    and the attribute is missing on all of its rows or on none.
+    Distinct combinations come first: where the dependency holds, repetition collapses on the map side
+    in a hash aggregate, and little is left for the second grouping. There a key agrees on an attribute
+    when smallest and largest value are equal and the attribute is missing everywhere or nowhere.
     """
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, a in enumerate(attributes):
         c = F.col(f"`{a}`")
         aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.count(c).alias(f"n{i}")]
-    groups = df.filter(F.col(f"`{key}`").isNotNull()).groupBy(f"`{key}`").agg(*aggs)
+    rows = df.filter(F.col(f"`{key}`").isNotNull()).select(f"`{key}`", *[f"`{a}`" for a in attributes]).distinct()
+    groups = rows.groupBy(f"`{key}`").agg(*aggs)
     bad = []
     for i in range(len(attributes)):
         agree = (F.col(f"n{i}") == 0) | ((F.col(f"n{i}") == F.col("n")) & (F.col(f"lo{i}") == F.col(f"hi{i}")))
@@ -170,7 +167,7 @@ def enum_columns(df: DataFrame, options: ImportOptions = DEFAULTS) -> DataFrame:
     The value set is collected only after a column is known to have at most ``enum_max_values``.
     """
     texts = [c for c, t in df.dtypes if t == "string"]
-    counts = union_all(value_counts(df, texts))
+    counts = value_counts(df, texts).select("column", F.col("as_text").alias("value"))
     stats = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct_values"), F.max(F.length("value")).alias("max_length")
     )
@@ -215,9 +212,8 @@ def names_agree(child_table: str, child: str, parent_table: str, parent: str) ->
 def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Foreign keys the data supports: every child value occurs in a parent key of agreeing name.
 
-    All columns of a type class share one grouping by value: each value carries a bit per column it
-    occurs in, so inclusion of any pair is a bit test in one aggregate - no value join and no pairs
-    per value. A parent is a key when it has as many distinct values as filled cells.
+    All columns share one grouping by value: each value carries a bit per column it occurs in, so
+    inclusion of any pair is a bit test in one aggregate - no value join and no pairs per value. A parent is a key when it has as many distinct values as filled cells.
     ``child_table, child_column, parent_table, parent_column, child_distinct, matched, coverage, is_fk``.
     """
     kinds = {
@@ -235,13 +231,9 @@ def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
     if not pairs:
         raise ValueError("no pair of columns has agreeing names")
     used = {column for pair in pairs for column in pair}
-    ids, classes = long_cells(tables, lambda t, name, _: (t, name) in used)
+    ids, cells = long_cells(tables, lambda t, name, _: (t, name) in used)
     number = {column: i for i, column in enumerate(ids)}
-    out = []
-    for kind, cells in (("int", classes.get("bigint")), ("string", classes.get("string"))):
-        mine = [(c, p) for c, p in pairs if kinds[c] == kind]
-        if mine:
-            out.append(_inclusion(cells, [(c, p, number[c], number[p]) for c, p in mine]))
+    found = _inclusion(cells, [(c, p, number[c], number[p]) for c, p in pairs])
     filled = union_all(
         [
             column_stats(tables[t].select(*[f"`{n}`" for tt, n in ids if tt == t])).select(
@@ -252,7 +244,7 @@ def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
             for t in sorted({t for t, _ in ids})
         ]
     )
-    found = union_all(out).join(filled, ["parent_table", "parent_column"])
+    found = found.join(filled, ["parent_table", "parent_column"])
     complete = (F.col("child_distinct") > 0) & (F.col("matched") == F.col("child_distinct"))
     return found.select(
         "child_table",
@@ -275,7 +267,7 @@ def _inclusion(cells: DataFrame, pairs: list[tuple[tuple[str, str], tuple[str, s
     words = sorted({i // _WORD for i in used})
     bit = F.expr(f"shiftleft(1L, cid % {_WORD})")
     masks = [F.bit_or(F.when(F.floor(F.col("cid") / _WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words]
-    per_value = cells.groupBy("value").agg(*masks)
+    per_value = cells.groupBy("as_long", "as_text").agg(*masks)
 
     def has(i: int) -> Column:
         return F.col(f"m{i // _WORD}").bitwiseAND(F.lit(1 << (i % _WORD)).cast("long")) != 0

@@ -9,14 +9,14 @@ from rowmill.operators.profile import union_all
 from rowmill.operators.validate import key_violations, orphan_report, table_checks
 from rowmill.operators.normalize import multiset_difference, rebuild
 from rowmill.plans.importer import split_flat
-from rowmill.plans.views import flat_sales
-from rowmill.session import configure, materialize
+from rowmill.plans.views import flat_file
+from rowmill.session import configure
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """``check, subject, value``: rows per split table, key violations, orphans and lost rows."""
     configure(spark)
-    flat = materialize(flat_sales(spark, folder), "flat")
+    flat = flat_file(spark, folder)
     tables, foreign = split_flat(flat, "sales")
     rows = [table_checks(tables).select(F.lit("rows").alias("check"), F.col("table").alias("subject"), F.col("row_count").alias("value"))]
     for _, _, parent, key in foreign:

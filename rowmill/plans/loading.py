@@ -11,7 +11,7 @@ from rowmill.options import ImportOptions
 from rowmill.plans import importer
 from rowmill.plans import views as V
 from rowmill.plans.registry import query
-from rowmill.session import materialize, scratch_dir
+from rowmill.session import scratch_dir
 from rowmill.sources.tables import read_table, read_tables
 
 
@@ -85,7 +85,7 @@ def validation_summary(spark: SparkSession, folder: str) -> DataFrame:
 def import_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The whole flow: flat sales split, staged, validated with foreign keys, published as one version."""
     store = VersionStore(spark, scratch_dir(spark, "import"))
-    tables, foreign = importer.split_flat(materialize(V.flat_sales(spark, folder), "flat"), "sales")
+    tables, foreign = importer.split_flat(V.flat_file(spark, folder), "sales")
     done = importer.run_import(store, {"sales": tables["sales"]}, lambda _: tables, foreign=foreign)
     return done.select("rows_imported", F.concat_ws(", ", "tables").alias("tables"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.operators import changes, normalize, runlog
-from rowmill.operators.asof import asof_join, convert_currency
+from rowmill.operators.asof import convert_currency
 from rowmill.operators.catalog import upsert
 from rowmill.operators.versions import VersionStore
 from rowmill.plans import views as V
@@ -45,9 +45,8 @@ def asof_rates(spark: SparkSession, folder: str) -> DataFrame:
     d = V.dirty_orders(spark, folder).select(
         "k", "currency", C.to_date(F.col("order_date_s")).alias("at"), C.to_amount(F.col("amount_s")).cast("double").alias("amount")
     )
-    rates = V.rates(spark, folder)
-    usd = convert_currency(d, rates, "amount", "currency", "at", "usd")
-    return asof_join(usd, rates, ["currency"], "at", "day", ["rate"]).select("k", "currency", "rate", "usd")
+    usd = convert_currency(d, V.rates(spark, folder), "amount", "currency", "at", "usd")
+    return usd.select("k", "currency", "rate", "usd")
 
 
 @query(f"""WITH {V.RUNS} SELECT n_nationkey AS project_id, n_name AS project, coalesce(d, 0) AS docs_count, coalesce(r, 0) AS completed_imports

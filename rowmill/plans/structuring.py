@@ -10,8 +10,7 @@ from rowmill.plans import views as V
 from rowmill.plans.importer import split_flat
 from rowmill.plans.profiling import CUSTOMER, ORDERS, column_profile_sql, load_type_sql
 from rowmill.plans.registry import query
-from rowmill.session import materialize
-from rowmill.sources.tables import read_table, read_tables
+from rowmill.sources.tables import read_table, read_tables, spread
 
 LINEITEM = [
     ("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"), ("l_quantity", "float"),
@@ -25,13 +24,21 @@ REGION = [("r_regionkey", "int"), ("r_name", "string")]
 SCHEMAS = {
     "customer": CUSTOMER, "orders": ORDERS, "lineitem": LINEITEM, "part": PART, "supplier": SUPPLIER, "nation": NATION, "region": REGION,
 }
+
+
+def _spread_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All tables of the schema; the large ones use every core even when stored in one row group."""
+    large = ("customer", "orders", "lineitem", "part")
+    return {t: spread(df) if t in large else df for t, df in read_tables(spark, folder, SCHEMAS).items()}
+
+
 _PROFILES = " UNION ALL ".join(column_profile_sql(t, c) for t, c in SCHEMAS.items())
 
 
 @query(f"""SELECT region, column_name, row_count, distinct_count,
 inferred_type IN ('int', 'string') AND null_rate = 0 AND distinct_count = row_count AS is_key FROM ({_PROFILES})""")
 def candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
-    out = structure.candidate_keys(read_tables(spark, folder, SCHEMAS))
+    out = structure.candidate_keys(_spread_tables(spark, folder))
     return out.withColumnRenamed("column", "column_name")
 
 
@@ -58,7 +65,7 @@ _FD = [("customer_id", ["customer_name", "customer_segment", "customer_balance",
 
 @query(f"WITH {V.FLAT_SALES} " + " UNION ALL ".join(_dep_sql(k, a) for k, ats in _FD for a in ats))
 def functional_deps(spark: SparkSession, folder: str) -> DataFrame:
-    flat = V.flat_sales(spark, folder)
+    flat = V.flat_file(spark, folder)
     return structure.union_all([structure.functional_deps(flat, k, ats) for k, ats in _FD])
 
 
@@ -89,7 +96,7 @@ def _evidence_sql() -> str:
 @query(f"WITH {V.FLAT_SALES} {_evidence_sql()}")
 def entity_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Prefix clusters of the flat sales with every member tried as the entity's key."""
-    return structure.cluster_evidence(V.flat_sales(spark, folder))
+    return structure.cluster_evidence(V.flat_file(spark, folder))
 
 
 _ENUMS = [("o_orderstatus", "orders"), ("o_orderpriority", "orders")]
@@ -134,7 +141,7 @@ def _fk_sql() -> str:
 
 @query(_fk_sql())
 def fk_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.fk_candidates(read_tables(spark, folder, SCHEMAS))
+    return structure.fk_candidates(_spread_tables(spark, folder))
 
 
 def _proposal_sql(table: str, columns: list[tuple[str, str]], refs: dict[str, tuple[str, str]], source: str | None = None) -> str:
@@ -305,7 +312,7 @@ UNION ALL SELECT 'parts', count(DISTINCT part_id) FROM flat_sales
 UNION ALL SELECT 'sales', count(*) FROM flat_sales""")
 def split_flat_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence, choice of keys and split of the flat sales; rows per resulting table."""
-    tables, _ = split_flat(materialize(V.flat_sales(spark, folder), "flat"), "sales")
+    tables, _ = split_flat(V.flat_file(spark, folder), "sales")
     return catalog.row_counts(tables).withColumnRenamed("table", "table_name")
 
 
@@ -319,7 +326,7 @@ SELECT (SELECT count(*) FROM (SELECT * FROM flat_sales EXCEPT ALL SELECT * FROM
  + (SELECT count(*) FROM (SELECT * FROM again EXCEPT ALL SELECT * FROM flat_sales)) AS differing_rows""")
 def split_lossless(spark: SparkSession, folder: str) -> DataFrame:
     """Parents joined back to the child give the flat rows again, copies included."""
-    flat = V.flat_sales(spark, folder)
+    flat = V.flat_file(spark, folder)
     keys = {"orders": "order_id", "customers": "customer_id", "parts": "part_id"}
     clusters = structure.prefix_clusters(flat.columns)
     parents, child = [], flat

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.operators.runlog import STEPS, number_attempts
-from rowmill.sources.tables import read_table
+from rowmill.session import materialize
+from rowmill.sources.tables import read_table, spread
 
 # Spellings and codes used by the derived inputs.
 GIFT_WORDS = ("false", "N", "Y", "0", "true", "Yes", "NO", "f", "no", "yes", "FALSE", "N/A", "T", "1")
@@ -35,7 +36,7 @@ def _text(c: Column) -> Column:
 
 
 def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
-    o = read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
+    o = spread(read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]))
     k, cust = F.col("o_orderkey"), _text(F.col("o_custkey"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     whole, rest = _text(F.floor(cents / 100).cast("long")), F.lpad(_text(cents % 100), 2, "0")
@@ -102,6 +103,7 @@ DIRTY_ORDERS = f"""dirty_orders AS (
 
 def flat_sales(spark: SparkSession, folder: str) -> DataFrame:
     l = read_table(spark, folder, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"])
+    l = spread(l)
     o = read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"])
     c = read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
     p = read_table(spark, folder, "part", ["p_partkey", "p_name", "p_brand", "p_retailprice"])
@@ -140,6 +142,11 @@ FLAT_SALES = """flat_sales AS (
 )"""
 
 
+def flat_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat sales as a stored file, the form in which such data arrives."""
+    return materialize(flat_sales(spark, folder), "flat")
+
+
 def wide_items(spark: SparkSession, folder: str) -> DataFrame:
     p = read_table(spark, folder, "part", ["p_partkey", "p_name", "p_brand", "p_size"])
     even = F.col("p_size") % 2 == 0
