@@ -32,9 +32,9 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     if not group:
         return _by_range(df, group, order, name)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = materialize(sizes.drop("_n"), "hot-groups")
-    if hot.isEmpty():
+    if sizes.isEmpty():
         return _by_window(df, group, order, name)
+    hot = materialize(sizes.drop("_n"), "hot-groups")
     marks = hot.select(*[F.col(g).alias(f"_h_{g}") for g in group])
     same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in group])
     cold = _by_window(df.join(marks, same, "left_anti"), group, order, name)

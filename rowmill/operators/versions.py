@@ -73,7 +73,8 @@ class VersionStore:
         parts = self._rows(self.version() if version is None else version).get(table)
         if not parts:
             raise Conflict(f"table {table!r} does not exist")
-        schema = StructType.fromJson(json.loads(parts[-1][1]))
+        # Appended parts never bring new columns, so the first part has the table's schema.
+        schema = StructType.fromJson(json.loads(parts[0][1]))
         return self.spark.read.schema(schema).parquet(*[p for p, _ in parts])
 
     def stage(self, tables: Mapping[str, DataFrame]) -> dict[str, tuple]:
@@ -100,17 +101,18 @@ class VersionStore:
         """Create or replace tables, all in one version."""
         return self.publish(self.stage(tables))
 
-    def append(self, table: str, rows: DataFrame) -> int:
-        """Add rows to a stored table; the existing files are not rewritten.
-
-        Columns the table does not know, or of another type, are refused; missing ones become NULL.
-        """
+    def check_fit(self, table: str, rows: DataFrame) -> None:
+        """Refuse rows with columns the table does not know or that have another type."""
         known = self.read(table)
         wrong = load_matches(column_rows(self.spark, {table: known}), column_rows(self.spark, {table: rows}))
         bad = [r["column"] for r in wrong.filter("problem <> 'missing'").collect()]
         if bad:
             raise Conflict(f"columns do not fit table {table!r}: {', '.join(sorted(bad))}")
-        shaped = known.limit(0).unionByName(rows, allowMissingColumns=True)
+
+    def append(self, table: str, rows: DataFrame) -> int:
+        """Add rows to a stored table; the existing files are not rewritten, missing columns become NULL."""
+        self.check_fit(table, rows)
+        shaped = self.read(table).limit(0).unionByName(rows, allowMissingColumns=True)
         return self.publish(self.stage({table: shaped}), append=[table])
 
     def drop_all(self) -> int:
