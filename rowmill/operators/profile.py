@@ -1,8 +1,9 @@
 """Column profiles: types, null rates, exact distinct counts, samples, distributions, duplicates.
 
-A profile reads its table twice at most: one narrow aggregate for row and null counts, and one
-unpivot grouped by (column, value) for exact distinct counts. Both aggregate on the map side, so a
-value that fills a third of a column travels as one row per task.
+A profile reads its table once: the cells of all columns are stacked and grouped by (column, value),
+which gives exact distinct counts and filled cells alike (row counts come from file footers). The
+grouping aggregates on the map side, so a value that fills a third of a column travels as one row per
+task.
 """
 
 from __future__ import annotations
@@ -103,17 +104,54 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return counted.select(F.get(names, F.col("cid")).alias("column"), *VALUES, "n")
 
 
-def _distinct_by_id(cells: DataFrame) -> DataFrame:
-    """``cid, distinct_values``: distinct pairs first, then one count per column."""
-    return cells.distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_values"))
+def _facts_by_id(cells: DataFrame) -> DataFrame:
+    """``cid, distinct_values, filled``: values with their counts first, then one row per column."""
+    values = cells.groupBy("cid", *VALUES).agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("filled"))
+
+
+def column_facts(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
+    """``region, pos, column, inferred_type, row_count, null_count, distinct_values`` of each column.
+
+    ``distinct_values`` leaves NULL out.
+    """
+    keep = None if columns is None else set(columns)
+    ids, cells = long_cells(tables, None if keep is None else lambda _, name, __: name in keep)
+    layout = []
+    for cid, (region, name) in enumerate(ids):
+        df = tables[region]
+        layout.append(
+            F.struct(
+                F.lit(cid).alias("cid"),
+                F.lit(region).alias("region"),
+                F.lit(df.columns.index(name)).alias("pos"),
+                F.lit(name).alias("column"),
+                F.lit(type_name(dict(df.dtypes)[name])).alias("inferred_type"),
+            )
+        )
+    rows = union_all(
+        [
+            df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(region).alias("region"), "row_count")
+            for region, df in tables.items()
+        ]
+    )
+    # The layout and the facts have one row per column, the counts one per table: small by the schema.
+    out = next(iter(tables.values())).sparkSession.range(1).select(F.inline(F.array(*layout)))
+    out = out.join(F.broadcast(rows), "region").join(F.broadcast(_facts_by_id(cells)), "cid", "left")
+    return out.select(
+        "region",
+        "pos",
+        "column",
+        "inferred_type",
+        "row_count",
+        (F.col("row_count") - F.coalesce("filled", F.lit(0))).alias("null_count"),
+        F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
+    )
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, distinct_values`` (NULL not counted) with exact counts."""
-    keep = set(columns if columns is not None else df.columns)
-    ids, cells = long_cells({"": df}, lambda _, name, __: name in keep)
-    names = F.array(*[F.lit(name) for _, name in ids])
-    return _distinct_by_id(cells).select(F.get(names, F.col("cid")).alias("column"), "distinct_values")
+    return column_facts({"": df}, columns).select("column", "distinct_values")
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -121,23 +159,14 @@ def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     NULL counts as one distinct value.
     """
-    ids, cells = long_cells(tables)
-    number = {pair: i for i, pair in enumerate(ids)}
-    stats = []
-    for region, df in tables.items():
-        first = number[(region, df.columns[0])]
-        stats.append(column_stats(df).select((F.col("pos") + first).alias("cid"), F.lit(region).alias("region"), "*"))
-    joined = union_all(stats).join(_distinct_by_id(cells), "cid", "left")
-    return joined.select(
+    return column_facts(tables).select(
         "region",
         "pos",
         "column",
         "inferred_type",
         "row_count",
         rate(F.col("null_count"), F.col("row_count")).alias("null_rate"),
-        (F.coalesce("distinct_values", F.lit(0)) + F.when(F.col("null_count") > 0, 1).otherwise(0))
-        .cast("long")
-        .alias("distinct_count"),
+        (F.col("distinct_values") + F.when(F.col("null_count") > 0, 1).otherwise(0)).cast("long").alias("distinct_count"),
     )
 
 

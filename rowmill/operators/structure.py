@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rowmill.functions.names import plural, singular
 from rowmill.operators.infer import type_name
 from rowmill.operators.profile import (
+    column_facts,
     column_stats,
-    distinct_counts,
     long_cells,
     profile_tables,
     rate,
@@ -103,44 +103,48 @@ def functional_deps(df: DataFrame, key: str, attributes: Sequence[str]) -> DataF
 def cluster_evidence(df: DataFrame, options: ImportOptions = DEFAULTS) -> DataFrame:
     """Sub-entity candidates: for every prefix cluster, each member considered as the key of the others.
 
-    ``cluster, key, attributes, row_count, distinct_values, tested, determined, is_entity``. A member is
-    an entity key when it has no gaps, repeats often enough and fixes all other members, and the
+    ``cluster, key, attributes, row_count, distinct_values, tested, combinations, is_entity``. A member
+    is an entity key when it has no gaps, repeats often enough and fixes all other members, and the
     document is not too small to be worth splitting.
 
-    Distinct counts come first and rule most members out before any dependency is tested: a key cannot
-    fix a column that has more distinct values than itself.
+    Distinct counts come first and rule most members out: a key cannot fix a column that has more
+    distinct values than itself. A remaining key fixes its cluster when there are as many distinct
+    combinations of the cluster as key values - a hash aggregate that collapses repetition on the map
+    side.
     """
     clusters = prefix_clusters(df.columns)
     if not clusters:
         raise ValueError("no columns share a prefix")
     members = [m for ms in clusters.values() for m in ms]
-    counts = column_stats(df.select(*[f"`{m}`" for m in members])).join(distinct_counts(df, members), "column", "left")
-    facts = {
-        r["column"]: r
-        for r in counts.select("column", "row_count", "null_count", F.coalesce("distinct_values", F.lit(0)).alias("d")).collect()
-    }
-    rows, deps = [], []
+    facts = {r["column"]: r for r in column_facts({"": df}, members).collect()}
+    rows, combined = [], []
     for head, names in clusters.items():
-        widest = max(facts[m]["d"] for m in names)
+        widest = max(facts[m]["distinct_values"] for m in names)
+        whole = df.select(*[f"`{m}`" for m in names]).distinct().agg(F.count(F.lit(1)).alias("combinations"))
+        tested_any = False
         for key in names:
             f = facts[key]
             tested = (
                 f["null_count"] == 0
                 and f["row_count"] >= options.flat_below_rows
-                and f["row_count"] >= f["d"] * options.min_repetition
-                and f["d"] >= widest
+                and f["row_count"] >= f["distinct_values"] * options.min_repetition
+                and f["distinct_values"] >= widest
             )
-            rows.append((head, key, len(names) - 1, f["row_count"], f["d"], tested))
-            if tested:
-                deps.append(functional_deps(df, key, [m for m in names if m != key]))
+            tested_any = tested_any or tested
+            rows.append((head, key, len(names) - 1, f["row_count"], f["distinct_values"], tested))
+        if tested_any:
+            combined.append(whole.select(F.lit(head).alias("cluster"), "combinations"))
     schema = "cluster string, key string, attributes long, row_count long, distinct_values long, tested boolean"
     candidates = df.sparkSession.createDataFrame(rows, schema)
-    if not deps:
-        return candidates.withColumns({"determined": F.lit(0).cast("long"), "is_entity": F.lit(False)})
-    fixed = union_all(deps).groupBy("key").agg(F.count_if("holds").alias("determined"))
-    out = candidates.join(fixed, "key", "left").withColumn("determined", F.coalesce("determined", F.lit(0)))
+    if not combined:
+        return candidates.withColumns({"combinations": F.lit(0).cast("long"), "is_entity": F.lit(False)})
+    # One row per cluster of the schema bounds the broadcast.
+    out = candidates.join(F.broadcast(union_all(combined)), "cluster", "left")
+    found = F.when(F.col("tested"), F.col("combinations")).otherwise(F.lit(0))
     return out.select(
-        *candidates.columns, "determined", (F.col("tested") & (F.col("determined") == F.col("attributes"))).alias("is_entity")
+        *candidates.columns,
+        found.alias("combinations"),
+        (F.col("tested") & (F.col("combinations") == F.col("distinct_values"))).alias("is_entity"),
     )
 
 
@@ -181,9 +185,9 @@ def enum_columns(df: DataFrame, options: ImportOptions = DEFAULTS) -> DataFrame:
 
 def keep_flat(df: DataFrame, columns: Sequence[str], options: ImportOptions = DEFAULTS) -> DataFrame:
     """``column, decision, reason``: split a column's entity out, or keep the table flat."""
-    stats = column_stats(df.select(*columns)).join(distinct_counts(df, columns), "column", "left")
+    stats = column_facts({"": df}, columns)
     tiny = F.col("row_count") < options.flat_below_rows
-    unique = F.coalesce("distinct_values", F.lit(0)) * options.min_repetition > F.col("row_count") - F.col("null_count")
+    unique = F.col("distinct_values") * options.min_repetition > F.col("row_count") - F.col("null_count")
     reason = F.when(tiny, "small document").when(unique, "no repetition").otherwise("repeated entity")
     return stats.select(
         "column", F.when(tiny | unique, "flat").otherwise("split").alias("decision"), reason.alias("reason")

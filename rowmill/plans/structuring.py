@@ -81,16 +81,15 @@ def _evidence_sql() -> str:
     for head, members in _CLUSTERS.items():
         widest = "greatest(" + ", ".join(f"(SELECT count(DISTINCT {m}) FROM flat_sales)" for m in members) + ")"
         for key in members:
-            deps = " UNION ALL ".join(_dep_sql(key, m) for m in members if m != key)
             parts.append(
                 f"""SELECT '{head}' AS cluster, '{key}' AS key, {len(members) - 1} AS attributes,
                 count(*) AS row_count, count(DISTINCT {key}) AS distinct_values,
                 count({key}) = count(*) AND count(*) >= 30 AND count(*) >= 2 * count(DISTINCT {key})
                   AND count(DISTINCT {key}) >= {widest} AS tested,
-                (SELECT count(*) FILTER (WHERE holds) FROM ({deps})) AS fixed FROM flat_sales"""
+                (SELECT count(*) FROM (SELECT DISTINCT {", ".join(members)} FROM flat_sales)) AS c FROM flat_sales"""
             )
-    return f"""SELECT cluster, key, attributes, row_count, distinct_values, tested, CASE WHEN tested THEN fixed ELSE 0 END AS determined,
-      tested AND fixed = attributes AS is_entity FROM ({" UNION ALL ".join(parts)})"""
+    return f"""SELECT cluster, key, attributes, row_count, distinct_values, tested, CASE WHEN tested THEN c ELSE 0 END AS combinations,
+      tested AND c = distinct_values AS is_entity FROM ({" UNION ALL ".join(parts)})"""
 
 
 @query(f"WITH {V.FLAT_SALES} {_evidence_sql()}")

@@ -45,11 +45,16 @@ def extension(name: str) -> str:
     return ext
 
 
-def read_document(spark: SparkSession, path: str, ext: str | None = None, infer: bool = True) -> Regions:
-    """Regions of a document as frames, with inferred types unless ``infer`` is off, and notes."""
+def read_document(
+    spark: SparkSession, path: str, ext: str | None = None, infer: bool = True, first_rows: int | None = None
+) -> Regions:
+    """Regions of a document as frames, with inferred types unless ``infer`` is off, and notes.
+
+    ``first_rows`` infers from a leading window instead of reading everything for it.
+    """
     regions, notes = READERS[extension(f"x.{ext}" if ext else path)](spark, path)
     if infer:
-        regions = {name: typed(df) for name, df in regions.items()}
+        regions = {name: typed(df, first_rows) for name, df in regions.items()}
     return regions, notes
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from rowmill.operators.runlog import FINAL
@@ -64,17 +65,25 @@ def wait_timeouts(
 ) -> DataFrame:
     """``run_id, status, waiting_since, failed_at`` where a run waits and nothing follows within ``limit``.
 
-    A run's events less than ``limit`` apart form a session; a session whose last event waits is a
-    time-out at the session's end. Sessions merge inside each task before the shuffle.
+    Streams group a run's events less than ``limit`` apart into a session, merged inside each task
+    before the shuffle; a session whose last event waits is a time-out at the session's end.
+
+    Stored events need no session: in a time slot as long as ``limit`` only a run's last event can time
+    out, so each (run, slot) shrinks to its first and last event on the map side, and the event after
+    a slot is the first one of the run's next slot.
     """
-    source = events.withWatermark("ts", delay) if events.isStreaming and delay else events
     last = F.max(F.struct("ts", "event_id", "status")).alias("_last")
-    sessions = source.groupBy("run_id", F.session_window("ts", limit).alias("_s")).agg(last)
-    return sessions.filter(F.col("_last.status").isin(*waiting)).select(
-        "run_id",
-        F.col("_last.status").alias("status"),
-        F.col("_last.ts").alias("waiting_since"),
-        F.col("_s.end").alias("failed_at"),
+    if events.isStreaming:
+        source = events.withWatermark("ts", delay) if delay else events
+        ends = source.groupBy("run_id", F.session_window("ts", limit).alias("_s")).agg(last)
+        ends = ends.select("run_id", "_last", F.col("_s.end").alias("failed_at"))
+    else:
+        slots = events.groupBy("run_id", F.window("ts", limit).alias("_w")).agg(last, F.min("ts").alias("_first"))
+        following = F.lead("_first").over(W.partitionBy("run_id").orderBy("_w"))
+        ends = slots.withColumns({"_next": following, "failed_at": F.col("_last.ts") + F.expr(f"INTERVAL {limit}")})
+        ends = ends.filter(F.col("_next").isNull() | (F.col("_next") > F.col("failed_at")))
+    return ends.filter(F.col("_last.status").isin(*waiting)).select(
+        "run_id", F.col("_last.status").alias("status"), F.col("_last.ts").alias("waiting_since"), "failed_at"
     )
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from rowmill.errors import IntakeError
 from rowmill.operators import normalize
 from rowmill.operators.asof import asof_join, convert_currency
 from rowmill.operators.ranking import first_per_group, numbered
@@ -41,6 +42,11 @@ def test_numbering_without_a_group_is_dense(spark):
     assert got == [(i + 1, x) for i, x in enumerate(sorted(data))]
 
 
+def test_existing_name_is_refused(spark):
+    with pytest.raises(IntakeError):
+        normalize.surrogate_ids(spark.range(3), ["id"])
+
+
 def test_first_per_group(spark):
     from pyspark.sql import functions as F
 

@@ -60,9 +60,17 @@ def test_no_query_multiplies_rows(spark, plan, name):
     assert "BatchEvalPython" not in text
 
 
-def test_numbers_do_not_depend_on_one_task(spark, plan):
-    from rowmill.operators.normalize import surrogate_ids
+def test_hot_groups_are_not_numbered_in_one_task(spark, plan):
+    from rowmill.operators.ranking import numbered
 
-    df = spark.range(1000).withColumn("k", F.col("id") * 7 % 1000)
-    text = plan(surrogate_ids(df, ["k"]))
-    assert "Window" in text and "k#" not in text[text.index("Window ") : text.index("Window ") + 40]
+    df = spark.range(1000).select(F.lit(1).alias("g"), "id")
+    out = numbered(df, ["g"], ["id"], "n", hot_rows=100)
+    # The only windows left run over the per-task marks and over the ordinary groups.
+    assert "LeftAnti" in plan(out) and out.filter("n <> id + 1").isEmpty() and out.count() == 1000
+
+
+def test_stored_events_shrink_before_the_shuffle(spark, plan):
+    from rowmill.streaming.events import wait_timeouts
+
+    text = plan(wait_timeouts(V.run_events(spark, FOLDER), ["error"]))
+    assert "partial_max" in text and "SessionWindow" not in text
