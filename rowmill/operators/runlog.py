@@ -59,6 +59,11 @@ def newest_first(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*[F.col(c).desc_nulls_last() for c in columns])
 
 
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Oldest first by several columns (messages by time, then id)."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+
+
 def latest_per_group(df: DataFrame, group: str, order: str) -> DataFrame:
     """The newest row of each group (proposal of a run, change of a project)."""
     others = [c for c in df.columns if c != group]
@@ -276,3 +281,25 @@ def run_records(runs: DataFrame, steps: DataFrame, questions: DataFrame, proposa
         lists = lists.join(p, ["run_id", "part"], "full_outer")
     return runs.join(lists, "run_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
 
+
+def load_reports(output: DataFrame) -> DataFrame:
+    """``run_id, rows_imported, tables`` from the output lines ``run_id, line_no, line`` of import jobs.
+
+    The last line that starts like a JSON object is the report. Without one, or when it is not an
+    object with a whole ``rows_imported`` and (if given) a list ``tables``, nothing counts as reported.
+    """
+    text = F.trim("line")
+    last = output.groupBy("run_id").agg(F.max_by(F.when(text.startswith("{"), text), F.when(text.startswith("{"), F.col("line_no"))).alias("r"))
+    parsed = last.select("run_id", F.try_parse_json("r").alias("v"))
+    rows, tables = F.try_variant_get("v", "$.rows_imported", "variant"), F.try_variant_get("v", "$.tables", "variant")
+    # Missing, null, false, zero and empty lists of tables all read as "no tables".
+    kind = F.coalesce(F.schema_of_variant(tables), F.lit("VOID"))
+    listed = kind.startswith("ARRAY")
+    nothing = (kind == "VOID") | tables.cast("string").isin("", "0", "false")
+    good = F.coalesce((F.schema_of_variant(rows) == "BIGINT") & (listed | nothing), F.lit(False))
+    none = F.array().cast("array<string>")
+    return parsed.select(
+        "run_id",
+        F.when(good, F.try_variant_get("v", "$.rows_imported", "long")).alias("rows_imported"),
+        F.when(good & listed, F.try_variant_get("v", "$.tables", "array<string>")).otherwise(none).alias("tables"),
+    )

@@ -12,6 +12,7 @@ import json
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from rowmill.errors import Conflict
 from rowmill.operators.proposal import load_matches
 from rowmill.operators.catalog import column_rows
 
+_PARALLEL_WRITES = 8
 _MANIFEST = "table string, path string, schema string, part int"
 _SNAPSHOT = "version long, state string, at long"
 
@@ -32,6 +34,7 @@ class VersionStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self._known: dict[int, dict[str, list[tuple]]] = {}
 
     # -- manifests -----------------------------------------------------------------------------
 
@@ -48,14 +51,19 @@ class VersionStore:
         return self.manifests().agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
 
     def _rows(self, version: int) -> dict[str, list[tuple]]:
+        if version in self._known:
+            return dict(self._known[version])
         out: dict[str, list[tuple]] = {}
         found = self.manifests().filter((F.col("version") == version) & (F.col("table") != ""))
         for r in found.orderBy("table", "part").collect():
             out.setdefault(r["table"], []).append((r["path"], r["schema"]))
-        return out
+        # A published manifest never changes.
+        if version:
+            self._known[version] = out
+        return dict(out)
 
-    def _publish(self, rows: Mapping[str, Sequence[tuple]]) -> int:
-        version = self.version() + 1
+    def _publish(self, rows: Mapping[str, Sequence[tuple]], after: int | None = None) -> int:
+        version = (self.version() if after is None else after) + 1
         # The unnamed row keeps a manifest without tables visible.
         flat = [("", "", "", 0)]
         flat += [(t, path, schema, i) for t, parts in rows.items() for i, (path, schema) in enumerate(parts)]
@@ -78,13 +86,21 @@ class VersionStore:
         return self.spark.read.schema(schema).parquet(*[p for p, _ in parts])
 
     def stage(self, tables: Mapping[str, DataFrame]) -> dict[str, tuple]:
-        """Write tables to fresh folders without making them visible."""
-        out = {}
-        for name, df in tables.items():
+        """Write tables to fresh folders without making them visible.
+
+        The writes are submitted together, so the tail of one table does not leave the cluster idle.
+        """
+
+        def write(name: str, df: DataFrame) -> tuple:
             path = f"{self.root}/tables/{name}/{uuid.uuid4().hex}"
             df.write.mode("errorifexists").parquet(path)
-            out[name] = (path, df.schema.json())
-        return out
+            return (path, df.schema.json())
+
+        if not tables:
+            return {}
+        with ThreadPoolExecutor(max_workers=min(len(tables), _PARALLEL_WRITES)) as pool:
+            jobs = {name: pool.submit(write, name, df) for name, df in tables.items()}
+            return {name: job.result() for name, job in jobs.items()}
 
     def staged(self, staged: Mapping[str, tuple]) -> dict[str, DataFrame]:
         """Read staged tables back, for validation before publishing."""
@@ -92,10 +108,11 @@ class VersionStore:
 
     def publish(self, staged: Mapping[str, tuple], append: Sequence[str] = (), drop: Sequence[str] = ()) -> int:
         """Make staged tables live in one step; tables in ``append`` gain a part, others are replaced."""
-        rows = {t: parts for t, parts in self._rows(self.version()).items() if t not in drop}
+        live = self.version()
+        rows = {t: parts for t, parts in self._rows(live).items() if t not in drop}
         for t, part in staged.items():
             rows[t] = [*rows.get(t, []), part] if t in append else [part]
-        return self._publish(rows)
+        return self._publish(rows, live)
 
     def load(self, tables: Mapping[str, DataFrame]) -> int:
         """Create or replace tables, all in one version."""

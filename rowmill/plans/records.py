@@ -409,3 +409,30 @@ def newest_first(spark: SparkSession, folder: str) -> DataFrame:
     """Run listing, newest first with unfinished runs last."""
     out = runlog.newest_first(V.runs(spark, folder), "finished_at", "started_at", "run_id").limit(100)
     return out.select("run_id", F.date_format("finished_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE user_id IS NOT NULL ORDER BY user_id, ts, event_id LIMIT 200""")
+def message_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Listing by several columns, first page."""
+    e = read_table(spark, folder, "events", ["event_id", "user_id", "ts"])
+    return runlog.in_order(e, "user_id", "ts", "event_id").limit(200).select("event_id", "user_id")
+
+
+@query("""SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' OR o_orderkey % 5 IN (0, 1) THEN o_custkey END AS rows_imported,
+CASE WHEN o_orderstatus = 'F' OR o_orderkey % 5 = 0 THEN 'a,b' ELSE '' END AS tables FROM orders""")
+def load_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of import jobs: good, without tables, mistyped, broken, missing, and corrected by a later line."""
+    o = read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    k, rows = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    whole = F.concat(F.lit(' {"rows_imported": '), rows, F.lit(', "tables": ["a", "b"]}'))
+    report = (
+        F.when(k % 5 == 0, whole)
+        .when(k % 5 == 1, F.concat(F.lit('{"rows_imported": '), rows, F.lit("}")))
+        .when(k % 5 == 2, F.concat(F.lit('{"rows_imported": "'), rows, F.lit('", "tables": ["a"]}')))
+        .when(k % 5 == 3, F.concat(F.lit('{"rows_imported": '), rows, F.lit(', "tables": ')))
+        .otherwise(F.lit("done"))
+    )
+    lines = F.array(F.lit("reading"), report, F.when(F.col("o_orderstatus") == "F", whole).otherwise("bye"))
+    output = o.select(k.alias("run_id"), F.posexplode(lines).alias("line_no", "line"))
+    out = runlog.load_reports(output)
+    return out.select("run_id", "rows_imported", F.concat_ws(",", "tables").alias("tables"))

@@ -292,11 +292,10 @@ def child_with_fk(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.fk_lookup(child, parent, "customer_segment", "segment_id", "segment_id")
 
 
-@query("""SELECT row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) AS id, o_custkey, o_orderdate, o_orderkey
-FROM orders""")
+@query("SELECT row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) AS id, o_custkey, o_orderkey FROM orders")
 def surrogate_ids(spark: SparkSession, folder: str) -> DataFrame:
     df = read_table(spark, folder, "orders", ["o_custkey", "o_orderdate", "o_orderkey"])
-    return normalize.surrogate_ids(df, ["o_custkey", "o_orderdate", "o_orderkey"])
+    return normalize.surrogate_ids(df, ["o_custkey", "o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 @query("""SELECT p_partkey, 1 AS position, p_name AS name, p_size AS qty FROM part

@@ -133,9 +133,8 @@ def newest_batch(spark: SparkSession, folder: str, schema: StructType, key: str
 def snapshot_then_deltas(stored: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a new consumer gets: the current state of every run, then the events that follow it.
 
-    ``events`` may be a stream; events the snapshot already covers are left out by the newest stored
-    position, which is one value.
+    ``events`` may be a stream. Events the snapshot covers are left out by their identity, not by a
+    position, so one that was numbered or arrived out of order is not lost.
     """
-    seen = stored.agg(F.max("event_id").alias("m")).first()["m"]
-    later = events if seen is None else events.filter(F.col("event_id") > seen)
-    return latest_state(stored), later
+    seen = stored.select("run_id", "event_id")
+    return latest_state(stored), events.join(seen, ["run_id", "event_id"], "left_anti")

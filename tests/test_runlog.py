@@ -169,3 +169,30 @@ def test_terminal_and_deltas(spark):
     assert E.terminal(df).filter("status <> 'completed'").isEmpty()
     kinds = {r["kind"] for r in E.run_deltas(df).collect()}
     assert kinds <= {"started", "progress", "finished"}
+
+
+def test_load_reports(spark):
+    cases = {
+        1: (["log", '{"rows_imported": 5, "tables": ["a", "b"]}', "bye"], (5, ["a", "b"])),
+        2: (['{"rows_imported": 1}', '  {"rows_imported": 7, "tables": null}'], (7, [])),
+        3: (['{"rows_imported": "7", "tables": ["a"]}'], (None, [])),
+        4: (['{"rows_imported": 7, "tables": "a"}'], (None, [])),
+        5: (['{"rows_imported": 7', "x"], (None, [])),
+        6: (["nothing"], (None, [])),
+        7: (['{"rows_imported": 7, "tables": [1, "b"]}'], (7, ["1", "b"])),
+        8: (['{"rows_imported": 7, "tables": []}'], (7, [])),
+        9: (['{"rows_imported": 1.5, "tables": []}'], (None, [])),
+    }
+    lines = [(run, i, line) for run, (text, _) in cases.items() for i, line in enumerate(text)]
+    df = spark.createDataFrame(lines, "run_id int, line_no int, line string").repartition(3)
+    got = {r["run_id"]: (r["rows_imported"], r["tables"]) for r in runlog.load_reports(df).collect()}
+    assert got == {run: want for run, (_, want) in cases.items()}
+
+
+def test_deltas_keep_late_numbers(spark, rows):
+    stored = spark.createDataFrame([(1, 5, START, "executing")], "run_id long, event_id long, ts timestamp, status string")
+    events = spark.createDataFrame(
+        [(1, 5, START, "executing"), (1, 3, START + timedelta(hours=1), "failed")], "run_id long, event_id long, ts timestamp, status string"
+    )
+    state, later = E.snapshot_then_deltas(stored, events)
+    assert rows(state, "status") == [("executing",)] and rows(later, "event_id") == [(3,)]
