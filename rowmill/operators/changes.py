@@ -197,14 +197,16 @@ class ChangeBook:
         out = self.store.spark.createDataFrame([tuple(row.get(c) for c in names)], _LOG)
         out.coalesce(1).write.mode("append").parquet(self.path)
 
-    def _state(self, change_id: str, *expected: str) -> dict:
-        found = self.current().filter(F.col("change_id") == change_id).collect()
-        if not found:
+    def _state(self, change_id: str, *expected: str) -> tuple[dict, list[dict]]:
+        """The change in one of the expected states, and the changes that hold a snapshot."""
+        holds = F.col("snapshot").isNotNull() & (F.col("status") == "applied")
+        rows = [r.asDict() for r in self.current().filter((F.col("change_id") == change_id) | holds).collect()]
+        mine = [r for r in rows if r["change_id"] == change_id]
+        if not mine:
             raise Conflict(f"unknown change {change_id!r}")
-        state = found[0].asDict()
-        if state["status"] not in expected:
-            raise Conflict(f"change is already {state['status']}")
-        return state
+        if mine[0]["status"] not in expected:
+            raise Conflict(f"change is already {mine[0]['status']}")
+        return mine[0], [r for r in rows if r["change_id"] != change_id]
 
     def propose(self, change: Change, estimate: int | None = None) -> str:
         counts = change.dry_run(self.store.read(change.table), estimate).first()
@@ -223,9 +225,8 @@ class ChangeBook:
 
     def apply(self, change_id: str) -> int | None:
         """Write the changed table as a new version; a failure leaves the data as it was."""
-        state = self._state(change_id, "proposing")
+        state, holders = self._state(change_id, "proposing")
         change = self._open[change_id]
-        holders = self.current().filter("status = 'applied' AND snapshot IS NOT NULL").collect()
         before = self.store.read(change.table)
         snapshot = self.store.snapshot()
         try:
@@ -238,16 +239,16 @@ class ChangeBook:
         self._write(**{**state, "status": "applied", "snapshot": snapshot})
         for old in holders:
             self.store.drop_snapshot(old["snapshot"])
-            self._write(**{**old.asDict(), "snapshot": None})
+            self._write(**{**old, "snapshot": None})
         return state["affected_rows"] if change.kind in COUNTED else None
 
     def undo(self, change_id: str) -> None:
-        state = self._state(change_id, "applied")
+        state, _ = self._state(change_id, "applied")
         if state["snapshot"] is None:
             raise Conflict("only the most recently applied change can be undone")
         self.store.restore(state["snapshot"])
         self._write(**{**state, "status": "reverted", "snapshot": None})
 
     def reject(self, change_id: str) -> None:
-        state = self._state(change_id, "proposing")
+        state, _ = self._state(change_id, "proposing")
         self._write(**{**state, "status": "rejected"})

@@ -76,6 +76,8 @@ def cell_kind(c: Column) -> Column:
     """
     kind = F.when(F.lower(c).isin("true", "false"), KINDS["bool"])
     kind = kind.when(~F.substring(c, 1, 1).isin(*"+-.0123456789"), KINDS["string"])
+    # Whole numbers past 18 digits would lose digits as floats.
+    kind = kind.when(c.rlike("^[+-]?[0-9]{19,}$"), KINDS["string"])
     for name in ("int", "float", "date", "datetime"):
         kind = kind.when(fits(c, name), KINDS[name])
     return F.when(c.isNotNull(), kind.otherwise(KINDS["string"]))

@@ -47,6 +47,9 @@ def column_stats(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+# Texts longer than this are compared by digest (65 characters).
+LONG_TEXT = 64
+
 # Columns that carry a cell's value in the long form: exactly one of them is filled.
 VALUES = ("as_long", "as_double", "as_text")
 
@@ -65,7 +68,10 @@ def _typed_cells(c: Column, dtype: str) -> list[Column]:
     elif dtype in ("float", "double"):
         empty[1] = c.cast("double")
     else:
-        empty[2] = flat_text(c, dtype)
+        text = flat_text(c, dtype)
+        # Whole documents would travel through the shuffle only to be compared. A digest is longer than
+        # any text left as it is, so the two cannot meet.
+        empty[2] = F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
     return empty
 
 

@@ -45,7 +45,7 @@ def project_stats(projects: DataFrame, documents: DataFrame, runs: DataFrame) ->
 
 def deletable_documents(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """Documents without a run that is unfinished or completed."""
-    blockers = runs.filter(~F.col("status").isin(*RELEASED)).select("document_id")
+    blockers = runs.filter(~F.col("status").isin(*RELEASED)).select("document_id").distinct()
     return documents.join(blockers, "document_id", "left_anti")
 
 

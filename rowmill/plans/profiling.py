@@ -37,6 +37,19 @@ def profile_columns(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("column", "column_name")
 
 
+_TEXTS = {
+    "documents": [("doc_id", "int"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "int")],
+    "pages": [("page_id", "int"), ("url", "string"), ("html", "string")],
+    "conversations": [("conv_id", "int"), ("turn", "int"), ("role", "string"), ("text", "string")],
+}
+
+
+@query(" UNION ALL ".join(column_profile_sql(t, c) for t, c in _TEXTS.items()))
+def profile_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns holding whole documents; long texts are compared by digest."""
+    return profile.profile_tables(read_tables(spark, folder, _TEXTS)).withColumnRenamed("column", "column_name")
+
+
 @query(f"WITH {V.DIRTY_ORDERS} " + column_profile_sql("cleaned", [(c, "string") for c in DIRTY]).replace(
     "FROM cleaned", "FROM (SELECT " + ", ".join(f"nullif(trim({c}), '') AS {c}" for c in DIRTY) + " FROM dirty_orders)"))
 def profile_with_gaps(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,8 +18,8 @@ def _reader(spark: SparkSession, whole: bool):
     return spark.read.option("recursiveFileLookup", True).option("multiLine", whole)
 
 
-def json_shape(spark: SparkSession, path: str) -> str:
-    """``array``, ``object``, ``lines`` or ``none`` for a document, or for a folder of alike documents.
+def _shaped(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
+    """Shape of a document (or of a folder of alike documents) and its frame, with the schema inferred once.
 
     Decided from the first two non-blank lines of one file where possible: a first line that is a
     whole object followed by another line can only be line-delimited, and reading such a file as one
@@ -29,7 +29,7 @@ def json_shape(spark: SparkSession, path: str) -> str:
     lines = lines.select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("f")).filter("v <> ''")
     one = lines.select("f").limit(1).collect()
     if not one:
-        return "none"
+        return "none", None
     head = (
         lines.filter(F.col("f") == one[0]["f"])
         .select("v", F.try_parse_json("v").isNotNull().alias("whole"))
@@ -38,34 +38,37 @@ def json_shape(spark: SparkSession, path: str) -> str:
     )
     first = head[0]["v"]
     if first.startswith("{") and head[0]["whole"] and len(head) > 1:
-        return "lines"
+        return "lines", _reader(spark, False).json(path)
     if first[0] not in "[{":
-        return "none"
+        return "none", None
     whole = _reader(spark, True).json(path)
+    if _has_corrupt(whole):
+        return "none", None
     if first.startswith("["):
-        return "none" if _has_corrupt(whole) or not whole.columns else "array"
+        return ("array", whole) if whole.columns else ("none", None)
     fields = whole.schema.fields
     if fields and all(
         isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType) for f in fields
     ):
-        return "object"
-    return "lines" if len(head) == 1 and not _has_corrupt(whole) else "none"
+        return "object", whole
+    return ("lines", _reader(spark, False).json(path)) if len(head) == 1 else ("none", None)
+
+
+def json_shape(spark: SparkSession, path: str) -> str:
+    """``array``, ``object``, ``lines`` or ``none``."""
+    return _shaped(spark, path)[0]
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
     """Regions of the document and notes; an unreadable document gives a note, not an error."""
-    shape = json_shape(spark, path)
-    if shape == "array":
-        return {"default": _reader(spark, True).json(path)}, []
-    if shape == "lines":
-        rows = _reader(spark, False).json(path)
-        if _has_corrupt(rows):
-            return {}, ["JSON parse failed: a line is not an object."]
-        return {"default": rows}, []
+    shape, df = _shaped(spark, path)
+    if df is None:
+        return {}, [NO_SHAPE]
     if shape == "object":
-        whole = _reader(spark, True).json(path)
-        return {f: whole.select(F.inline(F.col(f"`{f}`"))) for f in whole.columns}, []
-    return {}, [NO_SHAPE]
+        return {f: df.select(F.inline(F.col(f"`{f}`"))) for f in df.columns}, []
+    if _has_corrupt(df):
+        return {}, ["JSON parse failed: a line is not an object."]
+    return {"default": df}, []
 
 
 def flattened(df: DataFrame) -> DataFrame:

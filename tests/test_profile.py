@@ -98,6 +98,18 @@ def test_inference_lattice(spark):
     assert (types["a"], types["b"], types["c"], types["e"], types["i"]) == ("int", "double", "boolean", "timestamp", "bigint")
 
 
+def test_long_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([("12345678901234567890",), ("1",)], "a string")
+    assert infer.infer_types(df).first()["load_type"] == "text"
+
+
+def test_long_texts_are_told_apart(spark):
+    long = "x" * 70
+    data = [(long + "a",), (long + "b",), (long + "a",), ("x" * 64,), ("x" * 65,), (None,)]
+    df = spark.createDataFrame(data, "t string").repartition(3)
+    assert profile.profile_columns(df).first()["distinct_count"] == 5
+
+
 def test_inference_of_an_empty_table(spark):
     got = infer.infer_types(spark.createDataFrame([], "a string")).collect()
     assert [(r["column"], r["row_count"], r["inferred_type"]) for r in got] == [("a", 0, "null")]
