@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rowmill.operators.infer import flat_text, type_name
+from rowmill.operators.infer import flat_text, is_nested, type_name
+from rowmill.session import ident, quoted
 
 SAMPLE_WINDOW = 50
 SAMPLE_LIMIT = 5
@@ -32,19 +33,14 @@ def rate(part: Column, total: Column) -> Column:
 
 def column_stats(df: DataFrame) -> DataFrame:
     """``pos, column, inferred_type, row_count, null_count`` in one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    rows = [
-        F.struct(
-            F.lit(i).alias("pos"),
-            F.lit(name).alias("column"),
-            F.lit(type_name(dtype)).alias("inferred_type"),
-            F.col("n").alias("row_count"),
-            (F.col("n") - F.col(f"c{i}")).alias("null_count"),
-        )
+    counts = [F.expr(f"count({ident(c)}) AS c{i}") for i, c in enumerate(df.columns)]
+    rows = ", ".join(
+        f"struct({i} AS pos, {quoted(name)} AS column, {quoted(type_name(dtype))} AS inferred_type, "
+        f"n AS row_count, n - c{i} AS null_count)"
         for i, (name, dtype) in enumerate(df.dtypes)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    )
+    found = df.agg(F.count(F.lit(1)).alias("n"), *counts)
+    return found.selectExpr(f"inline(array({rows}))")
 
 
 # Texts longer than this are compared by digest (65 characters).
@@ -54,25 +50,26 @@ LONG_TEXT = 64
 VALUES = ("as_long", "as_double", "as_text")
 
 
-def _typed_cells(c: Column, dtype: str) -> list[Column]:
-    """The cell under the value column of its class; numbers and times stay numbers to keep keys short."""
-    empty = [F.lit(None).cast(t) for t in ("bigint", "double", "string")]
+def _typed_cells(name: str, dtype: str) -> str:
+    """The cell under the value column of its class, as SQL; numbers and times stay numbers to keep keys short."""
+    c = ident(name)
+    empty = ["CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"]
     if dtype in ("tinyint", "smallint", "int", "bigint"):
-        empty[0] = c.cast("bigint")
+        empty[0] = f"CAST({c} AS BIGINT)"
     elif dtype == "boolean":
-        empty[0] = c.cast("int").cast("bigint")
+        empty[0] = f"CAST(CAST({c} AS INT) AS BIGINT)"
     elif dtype == "date":
-        empty[0] = F.unix_date(c).cast("bigint")
+        empty[0] = f"CAST(unix_date({c}) AS BIGINT)"
     elif dtype in ("timestamp", "timestamp_ntz"):
-        empty[0] = F.unix_micros(c.cast("timestamp"))
+        empty[0] = f"unix_micros(CAST({c} AS TIMESTAMP))"
     elif dtype in ("float", "double"):
-        empty[1] = c.cast("double")
+        empty[1] = f"CAST({c} AS DOUBLE)"
     else:
-        text = flat_text(c, dtype)
+        text = f"to_json({c})" if is_nested(dtype) else f"CAST({c} AS STRING)"
         # Whole documents would travel through the shuffle only to be compared. A digest is longer than
         # any text left as it is, so the two cannot meet.
-        empty[2] = F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
-    return empty
+        empty[2] = f"CASE WHEN length({text}) > {LONG_TEXT} THEN concat('#', sha2({text}, 256)) ELSE {text} END"
+    return ", ".join(empty)
 
 
 def long_cells(
@@ -86,19 +83,19 @@ def long_cells(
     ids: list[tuple[str, str]] = []
     frames = []
     for table, df in tables.items():
-        stacked: list[Column] = []
+        stacked: list[str] = []
         for name, dtype in df.dtypes:
             if wanted is None or wanted(table, name, dtype):
-                stacked += [F.lit(len(ids)), *_typed_cells(F.col(f"`{name}`"), dtype)]
+                stacked.append(f"{len(ids)}, {_typed_cells(name, dtype)}")
                 ids.append((table, name))
         if stacked:
-            long = df.select(F.stack(F.lit(len(stacked) // 4), *stacked).alias("cid", *VALUES))
+            long = df.selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) AS (cid, {', '.join(VALUES)})")
             frames.append(long.filter(_filled()))
     return ids, union_all(frames)
 
 
-def _filled() -> Column:
-    return F.col(VALUES[0]).isNotNull() | F.col(VALUES[1]).isNotNull() | F.col(VALUES[2]).isNotNull()
+def _filled() -> str:
+    return " OR ".join(f"{v} IS NOT NULL" for v in VALUES)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -123,18 +120,12 @@ def column_facts(tables: Mapping[str, DataFrame], columns: Sequence[str] | None
     """
     keep = None if columns is None else set(columns)
     ids, cells = long_cells(tables, None if keep is None else lambda _, name, __: name in keep)
-    layout = []
-    for cid, (region, name) in enumerate(ids):
-        df = tables[region]
-        layout.append(
-            F.struct(
-                F.lit(cid).alias("cid"),
-                F.lit(region).alias("region"),
-                F.lit(df.columns.index(name)).alias("pos"),
-                F.lit(name).alias("column"),
-                F.lit(type_name(dict(df.dtypes)[name])).alias("inferred_type"),
-            )
-        )
+    types = {region: dict(df.dtypes) for region, df in tables.items()}
+    layout = ", ".join(
+        f"struct({cid} AS cid, {quoted(region)} AS region, {list(types[region]).index(name)} AS pos, "
+        f"{quoted(name)} AS column, {quoted(type_name(types[region][name]))} AS inferred_type)"
+        for cid, (region, name) in enumerate(ids)
+    )
     rows = union_all(
         [
             df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(region).alias("region"), "row_count")
@@ -142,7 +133,7 @@ def column_facts(tables: Mapping[str, DataFrame], columns: Sequence[str] | None
         ]
     )
     # The layout and the facts have one row per column, the counts one per table: small by the schema.
-    out = next(iter(tables.values())).sparkSession.range(1).select(F.inline(F.array(*layout)))
+    out = next(iter(tables.values())).sparkSession.range(1).selectExpr(f"inline(array({layout}))")
     out = out.join(F.broadcast(rows), "region").join(F.broadcast(_facts_by_id(cells)), "cid", "left")
     return out.select(
         "region",

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.functions.names import plural, singular
@@ -23,6 +23,7 @@ from rowmill.operators.profile import (
     value_counts,
 )
 from rowmill.options import ImportOptions
+from rowmill.session import quoted
 
 DEFAULTS = ImportOptions()
 _GROUPED = re.compile(r"^(.+?)_(\d+)_(.+)$")
@@ -269,28 +270,23 @@ _WORD = 62
 def _inclusion(cells: DataFrame, pairs: list[tuple[tuple[str, str], tuple[str, str], int, int]]) -> DataFrame:
     used = sorted({i for _, _, c, p in pairs for i in (c, p)})
     words = sorted({i // _WORD for i in used})
-    bit = F.expr(f"shiftleft(1L, cid % {_WORD})")
-    masks = [F.bit_or(F.when(F.floor(F.col("cid") / _WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words]
+    masks = [
+        F.expr(f"bit_or(CASE WHEN cid DIV {_WORD} = {w} THEN shiftleft(1L, cid % {_WORD}) ELSE 0L END) AS m{w}")
+        for w in words
+    ]
     per_value = cells.groupBy("as_long", "as_text").agg(*masks)
 
-    def has(i: int) -> Column:
-        return F.col(f"m{i // _WORD}").bitwiseAND(F.lit(1 << (i % _WORD)).cast("long")) != 0
+    def has(i: int) -> str:
+        return f"(m{i // _WORD} & {1 << (i % _WORD)}L) <> 0"
 
-    aggs = [F.count_if(has(i)).alias(f"d{i}") for i in used]
-    aggs += [F.count_if(has(c) & has(p)).alias(f"n{c}_{p}") for _, _, c, p in pairs]
-    rows = [
-        F.struct(
-            F.lit(child[0]).alias("child_table"),
-            F.lit(child[1]).alias("child_column"),
-            F.lit(parent[0]).alias("parent_table"),
-            F.lit(parent[1]).alias("parent_column"),
-            F.col(f"d{c}").alias("child_distinct"),
-            F.col(f"n{c}_{p}").alias("matched"),
-            F.col(f"d{p}").alias("parent_distinct"),
-        )
+    aggs = [F.expr(f"count_if({has(i)}) AS d{i}") for i in used]
+    aggs += [F.expr(f"count_if({has(c)} AND {has(p)}) AS n{c}_{p}") for _, _, c, p in pairs]
+    rows = ", ".join(
+        f"struct({quoted(child[0])} AS child_table, {quoted(child[1])} AS child_column, {quoted(parent[0])} AS parent_table, "
+        f"{quoted(parent[1])} AS parent_column, d{c} AS child_distinct, n{c}_{p} AS matched, d{p} AS parent_distinct)"
         for child, parent, c, p in pairs
-    ]
-    return per_value.agg(*aggs).select(F.inline(F.array(*rows)))
+    )
+    return per_value.agg(*aggs).selectExpr(f"inline(array({rows}))")
 
 
 def reconcile(incoming: DataFrame, existing: DataFrame) -> DataFrame:
