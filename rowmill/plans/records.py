@@ -404,18 +404,18 @@ def keyed_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return upsert(read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_acctbal"]), sent, ["c_custkey"])
 
 
-@query(f"""WITH {V.RUNS} SELECT run_id, strftime(finished_at, '%Y-%m-%d') AS day FROM runs ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS LAST, run_id DESC LIMIT 100""")
+@query(f"""WITH {V.RUNS} SELECT run_id, strftime(finished_at, '%Y-%m-%d') AS day FROM runs""")
 def newest_first(spark: SparkSession, folder: str) -> DataFrame:
     """Run listing, newest first with unfinished runs last."""
-    out = runlog.newest_first(V.runs(spark, folder), "finished_at", "started_at", "run_id").limit(100)
+    out = runlog.newest_first(V.runs(spark, folder), "finished_at", "started_at", "run_id")
     return out.select("run_id", F.date_format("finished_at", "yyyy-MM-dd").alias("day"))
 
 
-@query("""SELECT event_id, user_id FROM events WHERE user_id IS NOT NULL ORDER BY user_id, ts, event_id LIMIT 200""")
+@query("SELECT event_id, user_id FROM events")
 def message_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Listing by several columns, first page."""
+    """Listing by several columns."""
     e = read_table(spark, folder, "events", ["event_id", "user_id", "ts"])
-    return runlog.in_order(e, "user_id", "ts", "event_id").limit(200).select("event_id", "user_id")
+    return runlog.in_order(e, "user_id", "ts", "event_id").select("event_id", "user_id")
 
 
 @query("""SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' OR o_orderkey % 5 IN (0, 1) THEN o_custkey END AS rows_imported,

@@ -196,3 +196,9 @@ def test_deltas_keep_late_numbers(spark, rows):
     )
     state, later = E.snapshot_then_deltas(stored, events)
     assert rows(state, "status") == [("executing",)] and rows(later, "event_id") == [(3,)]
+
+
+def test_listing_orders(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, 7, 1), (3, 9, 2), (4, 7, 0)], "id int, a int, b int").repartition(3)
+    assert [r["id"] for r in runlog.newest_first(df, "a", "b").collect()] == [3, 2, 4, 1]
+    assert [r["id"] for r in runlog.in_order(df, "a", "b").collect()] == [4, 2, 3, 1]
