@@ -5,8 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from rowmill.operators import browse, runlog
+from rowmill.plans import catalogue
 from rowmill.plans import views as V
 from rowmill.sources.tables import read_table
 
@@ -51,9 +51,9 @@ def test_catalogue_listing_reads_no_contents(spark, plan, tmp_path):
 SCHEMA_SIZED = {"schema_diff", "reconcile_tables"}
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_no_query_multiplies_rows(spark, plan, name):
-    text = plan(entry_points.queries()[name](spark, FOLDER))
+    text = plan(catalogue.QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text
     if name not in SCHEMA_SIZED:
         assert "BroadcastNestedLoopJoin" not in text

@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from rowmill.plans import catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -39,14 +40,14 @@ def _sorted(rows, columns):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(catalogue.QUERIES) == set(catalogue.SQL)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, twin, name):
-    df = entry_points.queries()[name](spark, FOLDER)
+    df = catalogue.QUERIES[name](spark, FOLDER)
     got = df.collect()
-    cursor = twin.execute(entry_points.oracle_sql()[name])
+    cursor = twin.execute(catalogue.SQL[name])
     columns = [d[0] for d in cursor.description]
     want = cursor.fetchall()
     assert sorted(df.columns) == sorted(columns)
