@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import lines, pii, shards, twins, urls
+from rowmill.llm import decontaminate, lines, pii, quality, shards, twins, urls
 from rowmill.llm.registry import QUERIES, SQL, query
 from rowmill.llm.table import read
 
@@ -41,3 +41,17 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages that occurred before."""
     return lines.drop_repeats(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query(twins.LEAKS)
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return decontaminate.document_leaks(docs, read(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query()
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return quality.document_quality(docs, read(spark, folder, "labels", "doc_id", "quality"))

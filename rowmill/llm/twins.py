@@ -107,3 +107,30 @@ SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.text ELSE coalesce(k.text, ''
     (coalesce(len(l.ls), 0) - coalesce(k.n, 0))::BIGINT AS lines_removed
 FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEAKS = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+iw AS (
+    SELECT item_id, array_to_string(ws[p + 1:p + 10], ' ') AS w, least(len(ws), 10) AS n
+    FROM (SELECT item_id, ws, unnest(range(greatest(len(ws) - 9, 1))) AS p FROM i WHERE len(ws) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM iw),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+dw AS (
+    SELECT doc_id, p, n, array_to_string(ws[p + 1:p + n], ' ') AS w
+    FROM (SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS p FROM d, sizes WHERE len(ws) >= n)
+),
+hits AS (SELECT DISTINCT doc_id, p, n, item_id FROM dw JOIN iw USING (w, n)),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id
+),
+hit_items AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+    FROM hits GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
