@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import decontaminate, lines, pii, quality, shards, twins, urls
+from rowmill.llm import decontaminate, lines, pii, quality, sentencepiece, shards, twins, urls
 from rowmill.llm.registry import QUERIES, SQL, query
 from rowmill.llm.table import read
 
@@ -55,3 +55,10 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
     docs = read(spark, folder, "documents", "doc_id", "text")
     return quality.document_quality(docs, read(spark, folder, "labels", "doc_id", "quality"))
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as pieces, and whether decoding restores it."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return sentencepiece.document_pieces(docs, sentencepiece.Vocabulary.load())
