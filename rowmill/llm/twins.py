@@ -134,3 +134,17 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+CODES = """
+WITH c AS (
+    SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS bits FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) = 64
+),
+p AS (
+    SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id,
+        list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: abs(z[1] - z[2])))::INT AS distance
+    FROM (SELECT * FROM c WHERE vec_id % 20 = 0) q, c r
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, neighbour_id, distance FROM o WHERE rank <= 10
+"""
