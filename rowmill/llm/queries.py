@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import codes, decontaminate, lines, pii, quality, sentencepiece, shards, twins, urls
+from rowmill.llm import codes, decontaminate, lines, neardup, pii, quality, sentencepiece, shards, twins, urls
 from rowmill.llm.registry import QUERIES, SQL, query
 from rowmill.llm.table import read
 
@@ -69,3 +69,9 @@ def op10_code_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest sign codes of every embedding whose id is divisible by 20."""
     vectors = read(spark, folder, "embeddings", "vec_id", "embedding")
     return codes.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=10, bits=64)
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return neardup.document_groups(read(spark, folder, "documents", "doc_id", "text"))
