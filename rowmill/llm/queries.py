@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import codes, decontaminate, lines, neardup, pii, quality, sentencepiece, shards, twins, urls
+from rowmill.llm import codes, decontaminate, lines, mixing, neardup, pii, quality, sentencepiece, shards, twins, urls
 from rowmill.llm.registry import QUERIES, SQL, query
 from rowmill.llm.table import read
 
@@ -75,3 +75,9 @@ def op10_code_search(spark: SparkSession, folder: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return neardup.document_groups(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document by a model of the documents that are not held out."""
+    return mixing.document_scores(read(spark, folder, "documents", "doc_id", "text"))
