@@ -9,7 +9,11 @@ from rowmill.llm.table import read, saved
 
 # Name and function on (spark, documents, folder), in order.
 STAGES = [
+    ("quality", stages.quality),
     ("line_dedup", stages.line_dedup),
+    ("near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontamination),
+    ("sentencepiece", stages.sentencepiece_pieces),
 ]
 
 # Training a classifier and the best segmentation are not expressible in SQL.

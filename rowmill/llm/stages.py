@@ -3,12 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowmill.llm import lines
-from rowmill.llm.table import ready
+from rowmill.llm import decontaminate, lines, neardup, sentencepiece
+from rowmill.llm import quality as quality_model
+from rowmill.llm.table import fresh, read, ready
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good stay.
+
+    It is trained on the labels of rows that are not held out, among the documents that are there.
+    """
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality_model.train(docs, labels.where(~quality_model.held_out(F.col("doc_id"))))
+    score, = fresh(docs, "quality_score")
+    return quality_model.score(docs, model, name=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document, or the document itself, already has are cut out."""
+    """Passages that an earlier document, or the document itself, already has are cut out.
+
+    ``n_chars`` follows the text. Documents of which nothing is left go, as copies of what came before; those that
+    were empty stay.
+    """
     ready(spark)
-    return lines.drop_repeats(docs).select(*docs.columns)
+    cut = lines.drop_repeats(docs).where("lines_removed = 0 OR text <> ''")
+    changed = F.col("lines_removed") > 0
+    return cut.select(
+        *(F.when(changed, F.length("text")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns)
+    )
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    return neardup.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def sentencepiece_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their pieces, the number of pieces, and whether decoding restores the text."""
+    vocabulary = sentencepiece.Vocabulary.load()
+    encoded = sentencepiece.encode(docs, vocabulary)
+    restored, = fresh(encoded, "decoded")
+    decoded = sentencepiece.decode(encoded, vocabulary, name=restored)
+    return decoded.select(
+        *(F.col(f"`{c}`") for c in encoded.columns),
+        F.coalesce(F.size("pieces"), F.lit(0)).cast("bigint").alias("n_pieces"),
+        F.col(restored).eqNullSafe(F.col("text")).alias("restored"),
+    )
