@@ -29,12 +29,13 @@ _FACTOR = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(kind: str, factor: int, n: int) -> np.ndarray:
+def powers(kind: str, factor: int, n: int, of: type = np.uint64) -> np.ndarray:
+    """The first ``n`` powers of a factor, in wrapping arithmetic; remembered under their kind."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), factor, np.uint64)
+        steps = np.full(max(n, BLOCK_BYTES + 1), factor, of)
         steps[0] = 1
-        _powers[kind] = have = np.cumprod(steps, dtype=np.uint64)
+        _powers[kind] = have = np.cumprod(steps, dtype=of)
     return have[:n]
 
 
@@ -76,8 +77,8 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     if not len(starts):
         return np.empty(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * _power("up", _FACTOR, n), out=sums[1:])
-    out = mix((sums[ends] - sums[starts]) * _power("down", pow(_FACTOR, -1, 1 << 64), n)[starts])
+    np.cumsum((data + np.uint64(1)) * powers("up", _FACTOR, n), out=sums[1:])
+    out = mix((sums[ends] - sums[starts]) * powers("down", pow(_FACTOR, -1, 1 << 64), n)[starts])
     for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
@@ -88,7 +89,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     m = len(hashes) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    weights = _power("gram", 0xD6E8FEB86659FD93, n + 1)
+    weights = powers("gram", 0xD6E8FEB86659FD93, n + 1)
     out = hashes[:m] * weights[1]
     for i in range(1, n):
         out += hashes[i : i + m] * weights[i + 1]
