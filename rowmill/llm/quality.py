@@ -119,6 +119,7 @@ def train(
     known = known.where(chance < sample_rows / max(1, total))
     rows = (
         docs.where(F.col(text_column).isNotNull())
+        .where(F.pmod(F.xxhash64(F.lit(11), F.col(id_column)), F.lit(1 << 30)) / float(1 << 30) < sample_rows / max(1, total))
         .select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
         .join(known, "id")
         .withColumn("learner", F.pmod(F.xxhash64(F.lit(12), F.col("id")), F.lit(LEARNERS)).cast("int"))
@@ -131,8 +132,9 @@ def train(
         return pa.table({"slot": pa.array(used, pa.int32()), "weight": pa.array(weights[used], pa.float64())})
 
     parts = rows.groupBy("learner").applyInArrow(learn, "slot int, weight double")
-    # At most 2 ** BITS rows.
-    found = parts.groupBy("slot").agg((F.sum("weight") / LEARNERS).alias("weight")).toArrow()
+    # At most 2 ** BITS rows. Weights are summed as decimals: the sums do not depend on the order.
+    summed = F.sum(F.col("weight").cast("decimal(28, 18)")).cast("double") / LEARNERS
+    found = parts.groupBy("slot").agg(summed.alias("weight")).toArrow()
     weights = np.zeros(1 << BITS)
     weights[found.column("slot").to_numpy()] = found.column("weight").to_numpy()
     return Model(weights)
@@ -150,9 +152,10 @@ def score(df: DataFrame, model: Model, text_column: str = "text", name: str = "s
         weights = sent.value
         out = np.full(len(texts), weights[-1])
         for row, slots, bounds in features(texts):
-            sums = np.concatenate([[0.0], np.cumsum(weights[slots].sum(axis=1))])
             n = np.diff(bounds)
-            out[row : row + len(n)] += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)
+            # Summed row by row, so that a score does not depend on the rows beside it.
+            sums = np.add.reduceat(np.append(weights[slots].sum(axis=1), 0.0), bounds[:-1])
+            out[row : row + len(n)] += np.where(n > 0, sums / np.maximum(n, 1), 0.0)
         return pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))), pa.float64())
 
     temporary, = fresh(df, "score_value")
