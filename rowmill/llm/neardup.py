@@ -25,6 +25,8 @@ SAMPLES = BANDS * BAND_ROWS
 # 50 bits on average, give or take 7; unrelated ones in 128, give or take 8. More than 88 are not compared further.
 SKETCH_BITS = 256
 MOST_DIFFERENT = 88
+# Bits of the parity bitmap of a full set, which bounds the difference of two sets from below.
+PARITY_BITS = 2048
 
 _rng = np.random.default_rng(20240601)
 _XOR = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)[:, None]
@@ -62,10 +64,15 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(values: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the number of 64-bit values at each of ``bits`` places, as 64-bit words."""
+    places = (values >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity of the number of samples at each place, as 64-bit words."""
-    places = (mix(samples + _SAMPLE_NO) >> np.uint64(56)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+    """The parity bitmap of MinHash samples, each with its number."""
+    return parity(mix(samples + _SAMPLE_NO), SKETCH_BITS)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -110,18 +117,23 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             _, first = np.unique(keys, return_index=True)
             first = np.sort(first[sent.value(keys[first])])
             texts = batch.column(1).take(pa.array(first))
-            d1, d2, sets = [], [], []
+            d1, d2, sets, parities = [], [], [], []
             for _, shingles in shingle_sets(texts):
                 one, two = digest(shingles)
                 d1.append(one)
                 d2.append(two)
                 sets.append(shingles.view(np.int64))
+                parities.append(parity(shingles, PARITY_BITS))
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["d1", "d2", "set"]
+                [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, lists), pa.array(parities, lists)],
+                names=["d1", "d2", "set", "parity"],
             )
 
-    found = docs.mapInArrow(rows, "d1 bigint, d2 bigint, set array<bigint>")
-    once = found.join(wanted.select("d1", "d2", "rep"), ["d1", "d2"]).groupBy("rep").agg(F.any_value("set").alias("set"))
+    found = docs.mapInArrow(rows, "d1 bigint, d2 bigint, set array<bigint>, parity array<bigint>")
+    once = found.join(wanted.select("d1", "d2", "rep"), ["d1", "d2"]).groupBy("rep").agg(
+        F.any_value("set").alias("set"), F.any_value("parity").alias("parity")
+    )
     return saved(once, "shingle-sets")
 
 
@@ -149,6 +161,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     return saved(both.where(common * 100 >= union * PERCENT).select("a", "b"), "links")
 
 
+def _possible(a: str, b: str) -> Column:
+    """Whether the parities of the full sets leave a link possible: never false for a link.
+
+    Each shingle that only one of the sets has flips one bit, so at least as many differ as bits do.
+    """
+    different = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        different = different + F.bit_count(F.get(f"{a}_parity", F.lit(i)).bitwiseXOR(F.get(f"{b}_parity", F.lit(i))))
+    return (F.col(f"{a}_n") + F.col(f"{b}_n")) * (100 - PERCENT) >= different * (100 + PERCENT)
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -175,8 +198,9 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
 
     A band's bucket may be large, so its pairs are not listed. Every member is first compared to one leader (the
     same for most buckets of a group), then, in buckets that still hold several components, to a leader of the
-    bucket's own. What is left are pairs of different components in one bucket: these are joined, with the odd
-    sketches deciding inside the join, until every candidate pair is linked, tested, or within one component.
+    bucket's own. What is left are pairs of different components in one bucket. These are joined, but for pairs whose
+    odd sketches, of the samples or of the full sets, rule a link out: every candidate pair ends up linked, ruled
+    out, or within one component.
     """
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     leader = F.min(F.struct(F.xxhash64("rep").alias("order"), F.col("rep").alias("lead")))
@@ -197,10 +221,14 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         own = F.min(F.struct(F.xxhash64("key", "rep").alias("order"), F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")))
         split = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), own.alias("own")).where("low <> high")
         if last:
-            mixed = left.join(split.select("key"), "key").join(_side(classes, "a").withColumnRenamed("a", "rep"), "rep")
-            one = mixed.withColumnsRenamed({"rep": "a", "comp": "a_comp"})
-            other = mixed.withColumnsRenamed({"rep": "b", "comp": "b_comp", "a_n": "b_n", "a_sketch": "b_sketch"})
-            pairs = one.join(other, "key").where("a < b AND a_comp <> b_comp").where(_alike("a", "b")).select("a", "b")
+            mixed = saved(left.join(split.select("key"), "key"), "mixed-buckets")
+            if mixed.isEmpty():
+                break
+            known = sets.select("rep", F.col("parity").alias("a_parity")).join(_side(classes, "rep").withColumnsRenamed({"rep_n": "a_n", "rep_sketch": "a_sketch"}), "rep")
+            one = mixed.join(known, "rep").withColumnsRenamed({"rep": "a", "comp": "a_comp"})
+            other = one.withColumnsRenamed({c: "b" + c[1:] for c in one.columns if c != "key"})
+            differ = (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp"))
+            pairs = one.join(other, "key").where(differ & _possible("a", "b") & _alike("a", "b")).select("a", "b")
         else:
             pairs = left.join(split.select("key", "own.lead", "own.lead_comp"), "key").where("comp <> lead_comp").select(*_pair("rep", "lead"))
         new = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
