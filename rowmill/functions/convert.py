@@ -65,20 +65,42 @@ def to_date(c: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
     return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_date(text, f)) for f in formats])
 
 
+# The shapes of whole cells that are read as times and numbers; anything else is a reject.
+TIMESTAMP_SHAPE = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?$"
+)
+DATE_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+INTEGER_SHAPE = r"^[+-]?[0-9]+$"
+NUMBER_SHAPE = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+BOOLEAN_SHAPE = r"^(?i)(true|false|t|f|yes|no|y|n|1|0)$"
+AMOUNT_SHAPE = rf"^[+-]?[{''.join(SYMBOL_CODES)}]? ?[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)([.][0-9]{{1,2}})?$"
+PERCENT_SHAPE = r"^[+-]?[0-9]+([.][0-9]+)? ?%$"
+
+
 def to_timestamp(c: Column) -> Column:
-    """ISO timestamp with or without an offset to an instant (session zone UTC)."""
-    return trimmed(c).try_cast("timestamp")
+    """ISO date and time, with or without an offset, to an instant (session zone UTC).
+
+    A time without a date, or a date that lacks a part, is not an instant.
+    """
+    text = trimmed(c)
+    return F.when(text.rlike(TIMESTAMP_SHAPE), text.try_cast("timestamp"))
 
 
 def to_amount(c: Column) -> Column:
-    """Amount with an optional currency symbol and grouping commas to decimal(18,2)."""
-    drop = "".join(SYMBOL_CODES) + ","
-    return F.translate(trimmed(c), drop, "").try_cast("decimal(18,2)")
+    """Amount with an optional sign, currency symbol and grouping commas to decimal(18,2).
+
+    Commas stand before groups of three digits, and at most two digits follow the point: ``12,50`` and ``1.234,56``
+    are rejects, not other amounts.
+    """
+    text = trimmed(c)
+    drop = "".join(SYMBOL_CODES) + ", "
+    one_sign = ~text.rlike("[+-].*[+-]")
+    return F.when(text.rlike(AMOUNT_SHAPE) & one_sign, F.translate(text, drop, "").try_cast("decimal(18,2)"))
 
 
 def amount_symbol(c: Column) -> Column:
-    """Leading currency symbol, NULL when there is none."""
-    first = F.substring(trimmed(c), 1, 1)
+    """Leading currency symbol (after a sign), NULL when there is none."""
+    first = F.substring(F.ltrim(F.translate(trimmed(c), "+-", "")), 1, 1)
     return F.when(first.isin(*SYMBOL_CODES), first)
 
 
@@ -92,8 +114,9 @@ def symbol_fits_code(amount: Column, code: Column) -> Column:
 
 
 def to_percent(c: Column) -> Column:
-    """``7.5%`` to 0.075."""
-    return F.translate(trimmed(c), "%", "").try_cast("decimal(12,6)") / F.lit(100)
+    """``7.5%`` to 0.075; a number without the sign at its end is not a percentage."""
+    text = trimmed(c)
+    return F.when(text.rlike(PERCENT_SHAPE), F.translate(text, "% ", "").try_cast("decimal(12,6)") / F.lit(100))
 
 
 def rescale(c: Column, factor: int = 100) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OTHER = re.compile(r"[^a-z0-9]+")
+# Between a small letter or digit and a capital, and before the last capital of a run that a small letter follows.
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
 def snake(name: str, fallback: str = "column") -> str:
-    """Lower-case name with every other run of characters as one underscore."""
-    return _OTHER.sub("_", name.lower()).strip("_") or fallback
+    """Lower-case name with every other run of characters as one underscore; ``OrderID`` is ``order_id``."""
+    return _OTHER.sub("_", _HUMP.sub("_", name).lower()).strip("_") or fallback
 
 
 def plural(name: str) -> str:
@@ -30,9 +32,9 @@ def singular(name: str) -> str:
     """Inverse of :func:`plural` for the regular cases."""
     if name.endswith("ies"):
         return name[:-3] + "y"
-    if name.endswith(("sses", "xes", "zes", "ches", "shes")):
+    if name.endswith(("sses", "xes", "zzes", "ches", "shes", "uses")):
         return name[:-2]
-    return name[:-1] if name.endswith("s") and not name.endswith("ss") else name
+    return name[:-1] if name.endswith("s") and not name.endswith(("ss", "us", "is")) else name
 
 
 def slug(c: Column, fallback: str = "project", max_len: int = 32) -> Column:

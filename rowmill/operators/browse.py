@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -43,8 +44,8 @@ def coerce(text: str, dtype: str) -> Column:
         if kind == "float":
             return F.lit(float(text))
         if dtype.startswith("decimal"):
-            return F.lit(float(text)).cast(dtype)
-    except ValueError:
+            return F.lit(Decimal(text))
+    except (ValueError, InvalidOperation):
         raise BadFilter(f"{text!r} is not a number") from None
     if kind == "bool":
         word = text.lower()

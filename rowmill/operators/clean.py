@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions import convert
 from rowmill.functions.convert import cleaned
 from rowmill.operators.ranking import first_per_group
 from rowmill.options import ImportOptions
@@ -26,10 +27,19 @@ def clean_text(df: DataFrame, options: ImportOptions | None = None) -> DataFrame
 def _convert(target: str | Converter) -> Converter:
     if callable(target):
         return target
-    if target in ("tinyint", "smallint", "int", "bigint"):
-        # The plain text test keeps '1.5' out of whole-number columns on every engine setting.
-        return lambda c: F.when(F.trim(c).rlike("^[+-]?[0-9]+$"), F.trim(c).try_cast(target))
-    return lambda c: F.trim(c).try_cast(target)
+    # The text has to have the whole shape of its type: casts alone read '12d', 'NaN' or a date with a tail.
+    kind = target.lower()
+    shape = (
+        convert.INTEGER_SHAPE if kind in ("tinyint", "smallint", "int", "bigint")
+        else convert.NUMBER_SHAPE if kind in ("float", "double") or kind.startswith("decimal")
+        else convert.DATE_SHAPE if kind == "date"
+        else convert.TIMESTAMP_SHAPE if kind.startswith("timestamp")
+        else convert.BOOLEAN_SHAPE if kind == "boolean"
+        else None
+    )
+    if shape is None:
+        return lambda c: F.trim(c).try_cast(target)
+    return lambda c: F.when(convert.trimmed(c).rlike(shape), convert.trimmed(c).try_cast(target))
 
 
 def try_convert(df: DataFrame, targets: Mapping[str, str | Converter]) -> DataFrame:

@@ -73,17 +73,20 @@ def _typed_cells(name: str, dtype: str) -> str:
 
 
 def long_cells(
-    tables: Mapping[str, DataFrame], wanted: Callable[[str, str, str], bool] | None = None
+    tables: Mapping[str, DataFrame],
+    wanted: Callable[[str, str, str], bool] | None = None,
+    counted: bool = False,
 ) -> tuple[list[tuple[str, str]], DataFrame]:
     """Non-null cells of many tables as ``cid`` and the value columns.
 
     ``cid`` numbers the returned (table, column) list, so grouping keys stay short and all columns of
-    all tables share one scan per table and one shuffle.
+    all tables share one scan per table and one shuffle. ``counted`` adds a constant cell per row of
+    table number t under ``cid = -1 - t``; it collapses to a row per task and counts the rows.
     """
     ids: list[tuple[str, str]] = []
     frames = []
-    for table, df in tables.items():
-        stacked: list[str] = []
+    for t, (table, df) in enumerate(tables.items()):
+        stacked: list[str] = [f"{-1 - t}, 0L, CAST(NULL AS DOUBLE), CAST(NULL AS STRING)"] if counted else []
         for name, dtype in df.dtypes:
             if wanted is None or wanted(table, name, dtype):
                 stacked.append(f"{len(ids)}, {_typed_cells(name, dtype)}")
@@ -107,41 +110,51 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return counted.select(F.get(names, F.col("cid")).alias("column"), *VALUES, "n")
 
 
-def _facts_by_id(cells: DataFrame) -> DataFrame:
-    """``cid, distinct_values, filled``: values with their counts first, then one row per column."""
+def _facts_by_id(cells: DataFrame, columns_of: Sequence[Sequence[int]]) -> DataFrame:
+    """``cid, row_count, distinct_values, filled``: values with their counts first, then one row per column.
+
+    ``columns_of`` lists the column numbers of each table, to which its row count is handed on.
+    """
     values = cells.groupBy("cid", *VALUES).agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("filled"))
+    each = values.groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("filled"))
+    lists = "array(" + ", ".join(f"array({', '.join(map(str, c))})" for c in columns_of) + ")"
+    rows = F.col("cid") < 0
+    targets = F.expr(f"CASE WHEN cid < 0 THEN {lists}[-1 - cid] ELSE array(cid) END")
+    spread = each.select(
+        F.explode(targets).alias("cid"),
+        F.when(rows, F.col("filled")).alias("row_count"),
+        F.when(~rows, F.col("distinct_values")).alias("distinct_values"),
+        F.when(~rows, F.col("filled")).alias("filled"),
+    )
+    return spread.groupBy("cid").agg(*(F.max(c).alias(c) for c in ("row_count", "distinct_values", "filled")))
 
 
 def column_facts(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
     """``region, pos, column, inferred_type, row_count, null_count, distinct_values`` of each column.
 
-    ``distinct_values`` leaves NULL out.
+    ``distinct_values`` leaves NULL out. Each table is scanned once.
     """
     keep = None if columns is None else set(columns)
-    ids, cells = long_cells(tables, None if keep is None else lambda _, name, __: name in keep)
+    wanted = None if keep is None else lambda _, name, __: name in keep
+    ids, cells = long_cells(tables, wanted, counted=True)
     types = {region: dict(df.dtypes) for region, df in tables.items()}
     layout = ", ".join(
         f"struct({cid} AS cid, {quoted(region)} AS region, {list(types[region]).index(name)} AS pos, "
         f"{quoted(name)} AS column, {quoted(type_name(types[region][name]))} AS inferred_type)"
         for cid, (region, name) in enumerate(ids)
     )
-    rows = union_all(
-        [
-            df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(region).alias("region"), "row_count")
-            for region, df in tables.items()
-        ]
-    )
-    # The layout and the facts have one row per column, the counts one per table: small by the schema.
+    columns_of = [[cid for cid, (region, _) in enumerate(ids) if region == table] for table in tables]
+    # One row per column of the schema on either side.
     out = next(iter(tables.values())).sparkSession.range(1).selectExpr(f"inline(array({layout}))")
-    out = out.join(F.broadcast(rows), "region").join(F.broadcast(_facts_by_id(cells)), "cid", "left")
+    out = out.join(F.broadcast(_facts_by_id(cells, columns_of)), "cid", "left")
+    count = F.coalesce("row_count", F.lit(0))
     return out.select(
         "region",
         "pos",
         "column",
         "inferred_type",
-        "row_count",
-        (F.col("row_count") - F.coalesce("filled", F.lit(0))).alias("null_count"),
+        count.alias("row_count"),
+        (count - F.coalesce("filled", F.lit(0))).alias("null_count"),
         F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
     )
 
@@ -175,27 +188,25 @@ def profile_columns(df: DataFrame) -> DataFrame:
 def samples(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """``column, rank, value``: first five distinct among the first fifty non-null cells in row order.
 
-    Each column is cut to its first fifty cells by its own top-k (a bounded heap per task, no sort of
-    the table, and only that column and the order columns are read); the rest works on those rows.
+    The cells of all columns are stacked in one scan; a rank limit then keeps fifty per column and
+    task, so that the rest works on those rows only.
     """
     types = dict(df.dtypes)
     names = list(columns or df.columns)
     keys = [F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order)]
     key_names = [f"_o{i}" for i in range(len(order))]
-    heads = []
-    for name in names:
-        c = F.col(f"`{name}`")
-        head = df.filter(c.isNotNull()).select(*keys, flat_text(c, types[name]).alias("value"))
-        head = head.orderBy(*key_names).limit(SAMPLE_WINDOW)
-        heads.append(head.select(F.lit(name).alias("column"), *key_names, "value"))
-    first = union_all(heads).groupBy("column", "value").agg(F.min(F.struct(*key_names)).alias("at"))
+    cells = [F.struct(F.lit(n).alias("column"), flat_text(F.col(f"`{n}`"), types[n]).alias("value")) for n in names]
+    long = df.select(*keys, F.inline(F.array(*cells))).filter("value IS NOT NULL")
+    place = F.row_number().over(W.partitionBy("column").orderBy(*key_names))
+    heads = long.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_WINDOW)
+    first = heads.groupBy("column", "value").agg(F.min("_place").alias("at"))
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("column").orderBy("at")))
     return ranked.filter(F.col("rank") <= SAMPLE_LIMIT).select("column", "rank", "value")
 
 
 def region_profile(df: DataFrame, order: Sequence[str], region: str = "default") -> DataFrame:
     """Profile rows with their samples as an array (at most five each)."""
-    taken = samples(df, order, [c for c in df.columns if c not in order or len(order) == 1])
+    taken = samples(df, order)
     lists = taken.groupBy("column").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("samples")
     )

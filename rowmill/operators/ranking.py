@@ -1,9 +1,8 @@
 """Row numbers that survive a hot group.
 
-A window over a group holding a third of the rows sorts that third in one task. Groups of ordinary
-size are numbered by a window; the rows of hot groups are range partitioned by (group, order), so that
-a group spreads over many tasks, and each task's position is turned into the final number by adding
-the group's row count in earlier tasks.
+A window over a group holding a third of the rows sorts that third in one task. Rows are range
+partitioned by (group, order) instead, so that a group spreads over as many tasks as it needs, and each
+task's position is turned into the final number by adding the group's row count in earlier tasks.
 """
 
 from __future__ import annotations
@@ -20,29 +19,13 @@ from rowmill.session import materialize
 # monotonically_increasing_id keeps the row's position in the low 33 bits.
 _POSITION_BITS = (1 << 33) - 1
 
-# Rows of one group that a single task may sort.
-HOT_ROWS = 1_000_000
 
-
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``df`` plus a dense 1-based ``name`` per group in ``order`` (ascending, NULL first).
 
     ``order`` must identify a row within its group. Without a group the whole frame is one sequence.
     """
-    if not group:
-        return _by_range(df, group, order, name)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    if sizes.isEmpty():
-        return _by_window(df, group, order, name)
-    hot = materialize(sizes.drop("_n"), "hot-groups")
-    marks = hot.select(*[F.col(g).alias(f"_h_{g}") for g in group])
-    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in group])
-    cold = _by_window(df.join(marks, same, "left_anti"), group, order, name)
-    return cold.unionByName(_by_range(df.join(marks, same, "left_semi"), group, order, name))
-
-
-def _by_window(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long"))
+    return _by_range(df, group, order, name)
 
 
 def _by_range(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -23,7 +23,6 @@ KEEP_LAST = 10
 MAX_AGE_DAYS = 30
 
 # Attempts (or iterations) per part of a run record; a normal run fits in one part.
-RECORD_BLOCK = 64
 
 
 # -- listings ------------------------------------------------------------------------------------
@@ -257,29 +256,24 @@ def auto_decisions(questions: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(df: DataFrame, number: str, order: Sequence[str], name: str) -> DataFrame:
-    part = F.floor((F.col(number) - 1) / RECORD_BLOCK).cast("int").alias("part")
-    fields = [*order, *[c for c in df.columns if c not in ("run_id", *order)]]
-    grouped = df.select("*", part).groupBy("run_id", "part")
-    return grouped.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-
-
 def run_records(runs: DataFrame, steps: DataFrame, questions: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Runs with their ordered steps, questions and proposals as nested lists.
+    """Everything recorded of each run, one row per item: the columns of ``runs``, then ``kind, no, attempt, item``.
 
-    Lists are cut by attempt number into parts of ``RECORD_BLOCK`` attempts: a normal run is one row
-    with ``part`` 0, and a run with endless attempts becomes several rows instead of one huge list.
+    ``kind`` is step (``no`` is its place in the flow), question (``question_no``) or proposal (``iteration``);
+    ``item`` holds the other columns of the item's table as JSON. Runs without any item have one row without a kind. A run
+    with endless attempts is just more rows; nothing is nested and nothing cut.
     """
-    numbered_steps = steps.withColumn("step_no", _step_index())
-    parts = [
-        _blocks(numbered_steps, "attempt", ["step_no", "attempt"], "steps"),
-        _blocks(questions, "question_no", ["question_no"], "questions"),
-        _blocks(proposals, "iteration", ["iteration"], "proposals"),
-    ]
-    lists = parts[0]
-    for p in parts[1:]:
-        lists = lists.join(p, ["run_id", "part"], "full_outer")
-    return runs.join(lists, "run_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+
+    def items(df: DataFrame, kind: str, no: Column, attempt: Column, used: Sequence[str]) -> DataFrame:
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in ("run_id", *used)]
+        text = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+        return df.select("run_id", F.lit(kind).alias("kind"), no.cast("long").alias("no"), attempt.cast("long").alias("attempt"), text.alias("item"))
+
+    once = F.lit(None)
+    every = items(steps, "step", _step_index(), F.col("attempt"), ["attempt"])
+    every = every.unionByName(items(questions, "question", F.col("question_no"), once, ["question_no"]))
+    every = every.unionByName(items(proposals, "proposal", F.col("iteration"), once, ["iteration"]))
+    return runs.join(every, "run_id", "left")
 
 
 def load_reports(output: DataFrame) -> DataFrame:

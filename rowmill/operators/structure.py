@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.functions.names import plural, singular
@@ -17,7 +17,6 @@ from rowmill.operators.profile import (
     column_facts,
     column_stats,
     long_cells,
-    profile_tables,
     rate,
     union_all,
     value_counts,
@@ -31,14 +30,19 @@ _GROUPED = re.compile(r"^(.+?)_(\d+)_(.+)$")
 
 def candidate_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per column whether it could be the primary key: unique, non-null, whole number or text."""
-    p = profile_tables(tables)
-    ok = (
+    facts = column_facts(tables)
+    seen = F.col("distinct_values") + F.when(F.col("null_count") > 0, 1).otherwise(0)
+    return facts.select("region", "column", "row_count", seen.cast("long").alias("distinct_count"), unique_column().alias("is_key"))
+
+
+def unique_column() -> Column:
+    """Whether the exact counts of ``column_facts`` allow a column as a key: no gap at all, and no value twice."""
+    return (
         F.col("inferred_type").isin("int", "string")
-        & (F.col("null_rate") == 0)
         & (F.col("row_count") > 0)
-        & (F.col("distinct_count") == F.col("row_count"))
+        & (F.col("null_count") == 0)
+        & (F.col("distinct_values") == F.col("row_count"))
     )
-    return p.select("region", "column", "row_count", "distinct_count", ok.alias("is_key"))
 
 
 def prefix_clusters(columns: Iterable[str]) -> dict[str, list[str]]:
@@ -171,11 +175,16 @@ def enum_columns(df: DataFrame, options: ImportOptions = DEFAULTS) -> DataFrame:
 
     The value set is collected only after a column is known to have at most ``enum_max_values``.
     """
-    texts = [c for c, t in df.dtypes if t == "string"]
-    counts = value_counts(df, texts).select("column", F.col("as_text").alias("value"))
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c, t in df.dtypes if t == "string"]
+    long = df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL")
+    # One text that is too long rules its column out, so longer ones need not be told apart.
+    size = F.length("value")
+    short = F.when(size <= options.enum_max_length, F.col("value")).alias("value")
+    counts = long.groupBy("column", short).agg(F.max(size).alias("length"))
     stats = counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct_values"), F.max(F.length("value")).alias("max_length")
+        F.count(F.lit(1)).alias("distinct_values"), F.max("length").alias("max_length")
     )
+    counts = counts.select("column", "value")
     small = stats.filter(
         (F.col("distinct_values") <= options.enum_max_values) & (F.col("max_length") <= options.enum_max_length)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowmill.operators import infer, profile
 from rowmill.plans import views as V
 from rowmill.plans.registry import query
-from rowmill.sources.tables import read_table, read_tables, spread
+from rowmill.sources.tables import read_table, read_tables
 
 CUSTOMER = [("c_custkey", "int"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "float"), ("c_mktsegment", "string")]
 ORDERS = [
@@ -33,7 +33,7 @@ def column_profile_sql(table: str, columns: list[tuple[str, str]], region: str |
 @query(column_profile_sql("customer", CUSTOMER) + " UNION ALL " + column_profile_sql("orders", ORDERS))
 def profile_columns(spark: SparkSession, folder: str) -> DataFrame:
     tables = read_tables(spark, folder, ["customer", "orders"])
-    out = profile.profile_tables({t: spread(df) for t, df in tables.items()})
+    out = profile.profile_tables(tables)
     return out.withColumnRenamed("column", "column_name")
 
 

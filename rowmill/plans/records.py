@@ -369,30 +369,24 @@ def first_answer(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("question_id", "answer", F.date_format("answered_at", "yyyy-MM-dd").alias("day"))
 
 
-@query(f"""WITH {V.RUNS}, {V.STEPS_SQL}, s AS (SELECT run_id, string_agg(step || ':' || attempt, ',' ORDER BY step_no, attempt) AS steps
- FROM steps JOIN (VALUES {_STEP_VALUES}) AS c(step, step_no) USING (step) GROUP BY 1),
-q AS (SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-qs AS (SELECT run_id, (n - 1) // 64 AS part, string_agg(event_id, ',' ORDER BY n) AS questions FROM q GROUP BY 1, 2)
-SELECT runs.run_id, CAST(coalesce(qs.part, 0) AS INTEGER) AS part, status,
- coalesce(CASE WHEN coalesce(qs.part, 0) = 0 THEN steps END, '') AS steps, coalesce(questions, '') AS questions
-FROM runs LEFT JOIN s USING (run_id) LEFT JOIN qs USING (run_id)""")
+@query(f"""WITH {V.RUNS}, {V.STEPS_SQL}, items AS (
+SELECT run_id, 'step' AS kind, step_no AS no, attempt, '{{"step":"' || step || '","status":"' || status || '"}}' AS item
+FROM steps JOIN (VALUES {_STEP_VALUES}) AS c(step, step_no) USING (step)
+UNION ALL SELECT user_id, 'question', row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), NULL, '{{"event_id":' || event_id || '}}' FROM events
+UNION ALL SELECT o_orderkey, 'proposal', n, NULL, '{{"table":"t' || (o_custkey % 7) || '"}}' FROM orders, range(1, 4) AS r(n) WHERE o_orderkey % 3 + 1 >= n)
+SELECT runs.run_id, runs.status, kind, no, attempt, item FROM runs LEFT JOIN items USING (run_id)""")
 def run_record(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs with their ordered steps and questions; proposals are empty here."""
+    """Runs with their steps, questions and proposals, one row per item."""
     from rowmill.operators.ranking import numbered
 
     e = V.run_events(spark, folder).select("run_id", "ts", "event_id")
     questions = numbered(e, ["run_id"], ["ts", "event_id"], "question_no").select("run_id", "question_no", "event_id")
-    proposals = spark.createDataFrame([], "run_id long, iteration int, table string")
-    steps = V.steps(spark, folder).select("run_id", "step", "attempt")
-    out = runlog.run_records(V.runs(spark, folder).select("run_id", "status"), steps, questions, proposals)
-    step_text = F.transform("steps", lambda s: F.concat(s["step"], F.lit(":"), s["attempt"].cast("string")))
-    return out.select(
-        "run_id",
-        "part",
-        "status",
-        F.coalesce(F.concat_ws(",", step_text), F.lit("")).alias("steps"),
-        F.coalesce(F.concat_ws(",", F.transform("questions", lambda q: q["event_id"].cast("string"))), F.lit("")).alias("questions"),
-    )
+    orders = read_table(spark, folder, "orders", ["o_orderkey", "o_custkey"])
+    tries = F.explode(F.sequence(F.lit(1), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("iteration")
+    table = F.concat(F.lit("t"), (F.col("o_custkey") % 7).cast("string")).alias("table")
+    proposals = orders.select(F.col("o_orderkey").alias("run_id"), tries, table)
+    steps = V.steps(spark, folder).select("run_id", "step", "attempt", "status")
+    return runlog.run_records(V.runs(spark, folder).select("run_id", "status"), steps, questions, proposals)
 
 
 @query("""SELECT c_custkey, CASE WHEN s_suppkey IS NULL THEN c_name ELSE s_name END AS c_name, coalesce(s_acctbal, c_acctbal) AS c_acctbal

@@ -10,7 +10,7 @@ from rowmill.plans import views as V
 from rowmill.plans.importer import split_flat
 from rowmill.plans.profiling import CUSTOMER, ORDERS, column_profile_sql, load_type_sql
 from rowmill.plans.registry import query
-from rowmill.sources.tables import read_table, read_tables, spread
+from rowmill.sources.tables import read_table, read_tables
 
 LINEITEM = [
     ("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"), ("l_quantity", "float"),
@@ -27,9 +27,8 @@ SCHEMAS = {
 
 
 def _spread_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All tables of the schema; the large ones use every core even when stored in one row group."""
-    large = ("customer", "orders", "lineitem", "part")
-    return {t: spread(df) if t in large else df for t, df in read_tables(spark, folder, SCHEMAS).items()}
+    """All tables of the schema."""
+    return read_tables(spark, folder, SCHEMAS)
 
 
 _PROFILES = " UNION ALL ".join(column_profile_sql(t, c) for t, c in SCHEMAS.items())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +16,20 @@ SOURCE = "_source_file"
 
 
 def inspect_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``file, lines, bad_lines, open_quotes`` per file.
+    """``file, lines, bad_lines, open_quotes, header`` per file.
 
     ``bad_lines`` are not UTF-8 (tested on the raw text, because the delimited reader has replaced
     such bytes already). An odd number of quotes means that a cell continues on the next line.
     """
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = lines.select("value", quotes.alias("quotes"), F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    return lines.groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(~F.is_valid_utf8("value")).alias("bad_lines"),
-        F.count_if(quotes % 2 == 1).alias("open_quotes"),
+        F.count_if(F.col("quotes") % 2 == 1).alias("open_quotes"),
+        F.min_by("value", "at").alias("header"),
     )
 
 
@@ -43,20 +48,46 @@ def read_delimited(
     multiline: bool | None = None,
     check: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Text columns of one or many files of the same header, and the ragged rows.
+    """Text columns of one or many files, and the ragged rows. Both frames carry the source file.
 
-    Both frames carry the source file. ``multiline=None`` looks for cells with line breaks first:
-    files without them stay splittable, others are read by one task each. The check and the
-    line-break test share one pass.
+    Each file is read by its own header: files with the same columns in another order are matched by name. Rows
+    of files that have other columns than the first file (by path) cannot be matched, and come back as ragged. So do
+    rows with too few or too many cells. ``multiline=None`` looks for files that have cells with line breaks;
+    only these are read by one task each, all others stay splittable. One pass tells both, and the encoding.
     """
     found = list(paths) if not isinstance(paths, str) else paths
-    if check or multiline is None:
-        report = inspect_text(spark, found)
-        flags = report.agg(F.sum("bad_lines").alias("bad"), F.sum("open_quotes").alias("open")).first()
-        if check and flags["bad"]:
-            check_encoding(report)
-        if multiline is None:
-            multiline = bool(flags["open"])
+    report = inspect_text(spark, found)
+    # A row per file, as in the listing that every scan makes.
+    files = report.select("file", "header", "bad_lines", (F.col("open_quotes") > 0).alias("open")).orderBy("file").collect()
+    if check and any(f["bad_lines"] for f in files):
+        check_encoding(report)
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for f in files:
+        broken = f["open"] if multiline is None else multiline
+        groups.setdefault((f["header"].rstrip("\r"), broken), []).append(_local(f["file"]))
+    if not groups:
+        whole, ragged = _read_alike(spark, found, sep, bool(multiline))
+        return whole, ragged
+    read = [_read_alike(spark, members, sep, broken) for (_, broken), members in groups.items()]
+    first = read[0][0]
+    wholes, raggeds = [], []
+    for whole, ragged in read:
+        raggeds.append(ragged)
+        if set(whole.columns) == set(first.columns):
+            wholes.append(whole.select(*[f"`{c}`" for c in first.columns]))
+        else:
+            cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in whole.columns if c != SOURCE]
+            raggeds.append(whole.select(SOURCE, F.concat_ws(sep, *cells).alias("record")))
+    return reduce(DataFrame.unionByName, wholes), reduce(DataFrame.unionByName, raggeds)
+
+
+def _local(uri: str) -> str:
+    """A file's address as the readers take it (they do not decode it)."""
+    return unquote(uri) if urlsplit(uri).scheme else uri
+
+
+def _read_alike(spark: SparkSession, found: str | list[str], sep: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
+    """Whole and ragged rows of files with one header."""
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)

@@ -18,15 +18,5 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: Iterable[st
     return df.select(*columns) if columns else df
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Redistribute a scan that would run in fewer tasks than there are cores.
-
-    That only happens to small inputs (one short file, one row group), where moving the rows costs
-    less than leaving the cores idle under cell-by-cell work. A scan with enough splits is untouched.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
     return {n: read_table(spark, folder, n) for n in names}

@@ -64,9 +64,9 @@ def test_hot_groups_are_not_numbered_in_one_task(spark, plan):
     from rowmill.operators.ranking import numbered
 
     df = spark.range(1000).select(F.lit(1).alias("g"), "id")
-    out = numbered(df, ["g"], ["id"], "n", hot_rows=100)
-    # The only windows left run over the per-task marks and over the ordinary groups.
-    assert "LeftAnti" in plan(out) and out.filter("n <> id + 1").isEmpty() and out.count() == 1000
+    out = numbered(df, ["g"], ["id"], "n")
+    # The only window left runs over the per-task marks.
+    assert "_part" in plan(out) and out.filter("n <> id + 1").isEmpty() and out.count() == 1000
 
 
 def test_stored_events_shrink_before_the_shuffle(spark, plan):

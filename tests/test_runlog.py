@@ -84,16 +84,16 @@ def test_canonical_steps(spark, rows):
     assert runlog.canonical_steps(runs, steps).filter("run_id = 2").count() == 5
 
 
-def test_run_record_cuts_long_lists(spark):
-    runs = spark.createDataFrame([(1,), (2,)], "run_id int")
+def test_run_record_has_a_row_per_item(spark, rows):
+    runs = spark.createDataFrame([(1,), (2,), (3,)], "run_id int")
     steps = spark.createDataFrame([(1, "execute", i) for i in range(1, 151)] + [(1, "profile", 1)], "run_id int, step string, attempt int")
     questions = spark.createDataFrame([(2, 1, "q")], "run_id int, question_no int, text string")
     proposals = spark.createDataFrame([(1, 1, "p")], "run_id int, iteration int, ddl string")
-    got = {(r["run_id"], r["part"]): r for r in runlog.run_records(runs, steps, questions, proposals).collect()}
-    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (2, 0)]
-    assert [s["step"] for s in got[(1, 0)]["steps"]][:2] == ["profile", "execute"]
-    assert sum(len(got[(1, p)]["steps"]) for p in range(3)) == 151
-    assert got[(1, 0)]["proposals"][0]["ddl"] == "p" and got[(2, 0)]["questions"][0]["text"] == "q"
+    out = runlog.run_records(runs, steps, questions, proposals)
+    assert out.filter("kind = 'step'").count() == 151
+    assert rows(out.filter("attempt = 150 OR kind <> 'step' OR kind IS NULL")) == [
+        (1, "proposal", 1, None, '{"ddl":"p"}'), (1, "step", 3, 150, '{"step":"execute"}'), (2, "question", 1, None, '{"text":"q"}'), (3, None, None, None, None),
+    ]
 
 
 def test_first_answer_wins(spark, rows):
