@@ -24,6 +24,7 @@ from rowmill.operators.proposal import load_matches
 from rowmill.operators.catalog import column_rows
 
 _PARALLEL_WRITES = 8
+_WHOLE = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}
 _MANIFEST = "table string, path string, schema string, part int"
 _SNAPSHOT = "version long, state string, at long"
 
@@ -118,18 +119,33 @@ class VersionStore:
         """Create or replace tables, all in one version."""
         return self.publish(self.stage(tables))
 
-    def check_fit(self, table: str, rows: DataFrame) -> None:
-        """Refuse rows with columns the table does not know or that have another type."""
+    def fitted(self, table: str, rows: DataFrame) -> DataFrame:
+        """``rows`` in the column types of the table; refused if a column is unknown or would lose values.
+
+        Whole numbers may be narrower than the stored ones, or wider as long as all values fit, and small
+        enough ones may join floating numbers.
+        """
         known = self.read(table)
         wrong = load_matches(column_rows(self.spark, {table: known}), column_rows(self.spark, {table: rows}))
-        bad = [r["column"] for r in wrong.filter("problem <> 'missing'").collect()]
+        differ = {r["column"] for r in wrong.filter("problem <> 'missing'").collect()}
+        stored, sent = dict(known.dtypes), dict(rows.dtypes)
+        bad, wider = set(), {}
+        for c in differ:
+            to, of = stored.get(c), sent[c]
+            if to in _WHOLE and of in _WHOLE:
+                if _WHOLE[of] > _WHOLE[to]:
+                    wider[c] = F.coalesce(F.max(F.col(f"`{c}`").try_cast(to).isNull() & F.col(f"`{c}`").isNotNull()), F.lit(False)).alias(c)
+            elif not (to == "double" and (of == "float" or _WHOLE.get(of, 8) < 8)):
+                bad.add(c)
+        if wider:
+            bad |= {c for c, lost in rows.agg(*wider.values()).first().asDict().items() if lost}
         if bad:
             raise Conflict(f"columns do not fit table {table!r}: {', '.join(sorted(bad))}")
+        return rows.select(*[F.col(f"`{c}`").cast(stored[c]).alias(c) if c in differ else F.col(f"`{c}`") for c in rows.columns])
 
     def append(self, table: str, rows: DataFrame) -> int:
         """Add rows to a stored table; the existing files are not rewritten, missing columns become NULL."""
-        self.check_fit(table, rows)
-        shaped = self.read(table).limit(0).unionByName(rows, allowMissingColumns=True)
+        shaped = self.read(table).limit(0).unionByName(self.fitted(table, rows), allowMissingColumns=True)
         return self.publish(self.stage({table: shaped}), append=[table])
 
     def drop_all(self) -> int:

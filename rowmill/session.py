@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -41,8 +42,30 @@ def get_session(app: str = "rowmill", master: str | None = None, **conf: str) ->
     return configure(builder.getOrCreate())
 
 
+# Scratch of this process, in the folder named by the session.
+_RUN = uuid.uuid4().hex
+_to_clear: set[str] = set()
+
+
+def _clear_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete the scratch of this process when it ends."""
+    if folder in _to_clear:
+        return
+    _to_clear.add(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def clear() -> None:
+        try:
+            files.delete(path, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone by now; what is left is scratch
+            pass
+
+    atexit.register(clear)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder named by ``spark.checkpoint.dir``.
+    """A fresh path in the folder named by ``spark.checkpoint.dir``, deleted when the process ends.
 
     Only a local session may fall back to a temporary folder: on a cluster the executors would
     each see a different one.
@@ -53,7 +76,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="rowmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rowmill/{label}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/rowmill/{_RUN}"
+    _clear_at_exit(spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -81,3 +81,19 @@ def test_decimal_filters_are_exact(spark):
     df = spark.sql("SELECT CAST('9007199254740993.01' AS DECIMAL(20, 2)) AS d")
     assert df.filter(predicate(df, ["d:eq:9007199254740993.01"])).count() == 1
     assert df.filter(predicate(df, ["d:eq:9007199254740993.02"])).count() == 0
+
+
+def test_batches_of_other_widths_join_a_table(spark, tmp_path, rows):
+    import pytest
+
+    from rowmill.errors import Conflict
+    from rowmill.operators.versions import VersionStore
+
+    store = VersionStore(spark, str(tmp_path))
+    store.load({"t": spark.sql("SELECT 1 AS i, 1L AS l, 1.5D AS d")})
+    store.append("t", spark.sql("SELECT 2L AS i, 2 AS l, 2 AS d"))
+    assert rows(store.read("t")) == [(1, 1, 1.5), (2, 2, 2.0)]
+    assert store.read("t").dtypes == [("i", "int"), ("l", "bigint"), ("d", "double")]
+    for bad in ("SELECT 3000000000L AS i", "SELECT 'x' AS i", "SELECT 1.5D AS l", "SELECT 1 AS other"):
+        with pytest.raises(Conflict):
+            store.append("t", spark.sql(bad))
