@@ -17,8 +17,11 @@ WIDEST_SEGMENT = 20
 
 
 def _widths(bits: int, rows: int) -> list[int]:
-    """Segments about as wide as the table is long in bits, so that a value has about one row."""
-    ideal = min(WIDEST_SEGMENT, max(4, round(math.log2(max(rows, 2)))))
+    """Segments of such a width that a value has four to eight rows on average.
+
+    Wider ones make for fewer rows to compare, but the values to look up grow faster.
+    """
+    ideal = min(WIDEST_SEGMENT, max(4, math.floor(math.log2(max(rows, 4) / 4))))
     m = max(1, math.ceil(bits / ideal))
     return [bits // m + (i < bits % m) for i in range(m)]
 
@@ -105,7 +108,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_column: s
         steps = [F.bit_count(F.get("query", F.lit(i)).bitwiseXOR(F.get("code", F.lit(i)))) * m + i for i in range(m)]
         first_met = F.least(*steps) if m > 1 else steps[0]
         met = (
-            probes.join(index, ["segment", "value"])
+            probes.join(index.hint("merge"), ["segment", "value"])
             .where(first_met == done_steps + F.col("segment"))
             .withColumn("distance", _distance(F.col("query"), F.col("code"), m))
             .where(F.col("distance") <= F.col("bound"))
