@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 from functools import reduce
@@ -35,28 +36,24 @@ def default_operator(dtype: str) -> str:
     return "contains" if type_name(dtype) == "string" else "eq"
 
 
+# The words that stand for a boolean in a filter.
+BOOLEAN_WORDS = {"true": True, "t": True, "1": True, "false": False, "f": False, "0": False}
+
+# What reads a filter's text, by the class of the column's type; other classes take the text itself.
+_LITERALS: dict[str, Callable[[str], object]] = {
+    "int": int, "float": float, "decimal": Decimal, "bool": lambda text: BOOLEAN_WORDS[text.lower()],
+}
+
+
 def coerce(text: str, dtype: str) -> Column:
-    """Filter literal in the column's type."""
-    kind = type_name(dtype)
-    try:
-        if kind == "int":
-            return F.lit(int(text))
-        if kind == "float":
-            return F.lit(float(text))
-        if dtype.startswith("decimal"):
-            return F.lit(Decimal(text))
-    except (ValueError, InvalidOperation):
-        raise BadFilter(f"{text!r} is not a number") from None
-    if kind == "bool":
-        word = text.lower()
-        if word in ("true", "t", "1"):
-            return F.lit(True)
-        if word in ("false", "f", "0"):
-            return F.lit(False)
-        raise BadFilter(f"{text!r} is not a boolean")
+    """Filter literal in the column's type; dates and times are cast by the engine."""
+    kind = "decimal" if dtype.startswith("decimal") else type_name(dtype)
     if kind in ("date", "datetime"):
         return F.lit(text).cast(dtype)
-    return F.lit(text)
+    try:
+        return F.lit(_LITERALS.get(kind, str)(text))
+    except (ValueError, KeyError, InvalidOperation):
+        raise BadFilter(f"cannot read {text!r} as {kind}") from None
 
 
 def contains(c: Column, text: str, literal: bool = False) -> Column:
@@ -67,21 +64,38 @@ def contains(c: Column, text: str, literal: bool = False) -> Column:
     return c.cast("string").ilike(f"%{text}%")
 
 
+@dataclass(frozen=True)
+class Filter:
+    """One condition on a column."""
+
+    column: str
+    operator: str
+    text: str
+
+    @classmethod
+    def parse(cls, raw: str) -> Filter:
+        """From ``column:operator:value``; the value may hold colons."""
+        found = _FILTER.match(raw)
+        if not found:
+            raise BadFilter(f"{raw!r} is not a column, one of {'/'.join(OPERATORS)} and a value, with colons between")
+        return cls(*found.groups())
+
+    def on(self, types: Mapping[str, str], literal: bool) -> Column:
+        if self.column not in types:
+            raise BadFilter(f"no column {self.column!r}")
+        cell = F.col(f"`{self.column}`")
+        if self.operator == "contains":
+            return contains(cell, self.text, literal)
+        return _COMPARE[self.operator](cell, coerce(self.text, types[self.column]))
+
+
+_FILTER = re.compile(rf"([^:]+):({'|'.join(OPERATORS)}):(.*)", re.DOTALL)
+
+
 def predicate(df: DataFrame, filters: Sequence[str], literal: bool = False) -> Column | None:
     """Conjunction of ``column:operator:value`` filters; a NULL cell never matches."""
     types = dict(df.dtypes)
-    parts = []
-    for raw in filters:
-        pieces = raw.split(":", 2)
-        if len(pieces) != 3:
-            raise BadFilter(f"expected column:operator:value, got {raw!r}")
-        name, op, text = pieces
-        if name not in types:
-            raise BadFilter(f"unknown column {name!r}")
-        if op not in OPERATORS:
-            raise BadFilter(f"unknown operator {op!r}; allowed: {', '.join(OPERATORS)}")
-        c = F.col(f"`{name}`")
-        parts.append(contains(c, text, literal) if op == "contains" else _COMPARE[op](c, coerce(text, types[name])))
+    parts = [Filter.parse(raw).on(types, literal) for raw in filters]
     return reduce(Column.__and__, parts) if parts else None
 
 
@@ -179,20 +193,22 @@ def read_frame(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM (\n{text}\n)")
 
 
-def read_query(spark: SparkSession, sql: str, cap: int = READ_ROWS) -> str:
-    """Result of a read-only statement as text: header, up to ``cap`` rows, then how many more."""
-    if not (sql or "").strip():
-        return "Error: empty query."
+@dataclass(frozen=True)
+class Answer:
+    """The first rows of a statement, and how many it has in all (None: not counted, for all are there)."""
+
+    head: DataFrame
+    total: int | None
+
+
+def read_query(spark: SparkSession, sql: str, cap: int = READ_ROWS) -> Answer:
+    """Up to ``cap`` rows of a read-only statement; the rest is counted only if there is any.
+
+    A statement that does not parse or run, or would write, raises ``BadFilter``.
+    """
     try:
-        df = read_frame(spark, sql)
-        got = df.limit(cap + 1).collect()
-        more = df.count() - cap if len(got) > cap else 0
-    except PySparkException as exc:
-        return f"Query error: {exc}"
-    if not got:
-        return "(0 rows)"
-    lines = [" | ".join(df.columns)]
-    lines += [" | ".join("NULL" if v is None else str(v) for v in row) for row in got[:cap]]
-    if more:
-        lines.append(f"... ({more} more rows)")
-    return "\n".join(lines)
+        frame = read_frame(spark, sql)
+        longer = bool(frame.offset(cap).take(1))
+        return Answer(frame.limit(cap), frame.count() if longer else None)
+    except PySparkException as problem:
+        raise BadFilter(f"not a readable statement: {problem}") from problem

@@ -18,7 +18,7 @@ ACTIVE = (
 FINAL = ("completed", "failed", "cancelled", "reverted")
 RELEASED = ("failed", "cancelled", "reverted")
 STEPS = ("profile", "propose_schema", "generate", "execute", "validate")
-INTERRUPTED = "Interrupted by worker restart."
+INTERRUPTED = "The run was still going when its worker stopped."
 KEEP_LAST = 10
 MAX_AGE_DAYS = 30
 

@@ -16,8 +16,8 @@ from rowmill.sources.tables import read_table, read_tables
 
 
 @query("""SELECT false AS ok, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS total_rows,
-concat('Reported 10 rows but tables grew by ', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation), '.') AS warnings,
-'Table ''ghost'' was reported but does not exist.' AS errors""")
+concat('The report says 10 rows, the tables gained ', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation), '.') AS warnings,
+'Table ''ghost'' is in the report, but was not loaded.' AS errors""")
 def validate_load(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on a load that reported too few rows and a table that is not there."""
     tables = read_tables(spark, folder, ["customer", "nation", "orders"])
@@ -73,7 +73,7 @@ def type_sanity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT concat('- `customer`: ', (SELECT count(*) FROM customer), ' rows', chr(10), '- `dirty_orders`: ',
 (SELECT count(*) FROM orders), ' rows', chr(10), chr(10), 'Warnings:', chr(10),
-'- Table ''dirty_orders'' has columns that are 100% NULL: empty_col') AS summary""")
+'- Table ''dirty_orders'' has no value at all in empty_col') AS summary""")
 def validation_summary(spark: SparkSession, folder: str) -> DataFrame:
     tables = {"dirty_orders": V.dirty_orders(spark, folder), "customer": read_table(spark, folder, "customer")}
     return validate.validation_summary(validate.table_checks(tables))

@@ -178,7 +178,7 @@ def workbook_regions(cells: DataFrame) -> tuple[dict[str, DataFrame], list[str]]
         regions[sheet] = body.select(
             *[F.get("cells", (F.array_position("header", n) - 1).cast("int")).alias(n) for n in names]
         )
-    return regions, [] if regions else ["XLSX file contains no non-empty sheets."]
+    return regions, [] if regions else ["No sheet of the workbook has cells."]
 
 
 def read_workbooks(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:

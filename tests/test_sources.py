@@ -181,4 +181,4 @@ def test_workbook_cells(spark, rows):
 
 def test_empty_workbook_gives_a_note(spark):
     files = spark.createDataFrame([("e.xlsx", bytearray(workbook_bytes({"a": []})))], "path string, content binary")
-    assert workbook.workbook_regions(workbook.workbook_cells(files)) == ({}, ["XLSX file contains no non-empty sheets."])
+    assert workbook.workbook_regions(workbook.workbook_cells(files)) == ({}, ["No sheet of the workbook has cells."])
