@@ -51,3 +51,25 @@ def test_stages_take_awkward_rows(llm, awkward, nothing):
         for rows in (awkward, nothing):
             out = stage(llm, rows, FOLDER)
             assert set(awkward.columns) <= set(out.columns) and out.count() <= rows.count()
+
+
+def test_run_equals_its_stages_by_brute_force(llm):
+    from pyspark.sql import functions as F
+
+    from rowmill.llm import quality, sentencepiece
+
+    from .test_filters import deduplicated, hits
+    from .test_models import groups
+
+    docs = llm.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = llm.read.parquet(f"{FOLDER}/labels.parquet")
+    model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    rows = [(r["doc_id"], r["text"]) for r in quality.score(docs, model).where("score >= 0.5").collect()]
+    rows = [(i, t) for i, t, removed in deduplicated(rows) if not removed or t]
+    kept = {i for i, _, _, keep in groups(rows) if keep}
+    items = [(r["item_id"], r["text"]) for r in llm.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    want = {i: t for i, t in rows if i in kept and not hits(t, items)[-1]}
+    got = corpus_pipeline.run(llm, FOLDER)
+    decoded = sentencepiece.decode(got, sentencepiece.Vocabulary.load(), name="again").collect()
+    assert len(decoded) == len(want) and {r["doc_id"]: r["text"] for r in decoded} == want
+    assert all(r["again"] == r["text"] for r in decoded)
