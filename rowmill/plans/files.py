@@ -141,7 +141,9 @@ def _sheet(rows: list[list[object]]) -> str:
     for cells in rows:
         parts = []
         for v in cells:
-            if isinstance(v, str):
+            if v is None:
+                parts.append("<c/>")
+            elif isinstance(v, str):
                 parts.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>')
             else:
                 parts.append(f"<c><v>{v!r}</v></c>")

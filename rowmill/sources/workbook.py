@@ -16,7 +16,7 @@ from xml.etree.ElementTree import iterparse
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.session import materialize
@@ -156,10 +156,28 @@ def workbook_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sheet_headers(cells: DataFrame) -> DataFrame:
-    """``file, sheet, header``: the first non-empty row of each sheet."""
-    return cells.groupBy("file", "sheet").agg(
+    """``file, sheet, header, row_no, sheet_no``: a name for each column of each sheet, from its first non-empty row.
+
+    A repeated header is numbered (``x``, ``x_2``), a blank one over filled cells is named after its place
+    (``column_4``); a column without header and cells has no name.
+    """
+    heads = cells.groupBy("file", "sheet").agg(
         F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("row_no"), F.min("sheet_no").alias("sheet_no")
     )
+    # At most a row per column of a sheet.
+    filled = cells.select("file", "sheet", F.posexplode("cells").alias("at", "cell")).filter("cell IS NOT NULL")
+    filled = filled.groupBy("file", "sheet").agg(F.collect_set("at").alias("filled"), F.max("at").alias("last"))
+
+    def name(i: Column) -> Column:
+        own, before = F.get("header", i), F.slice("header", 1, i)
+        again = F.size(F.filter(before, lambda h: h == own))
+        blank = F.when(F.array_contains("filled", i), F.concat(F.lit("column_"), (i + 1).cast("string")))
+        numbered = F.concat(own, F.when(again > 0, F.concat(F.lit("_"), (again + 1).cast("string"))).otherwise(F.lit("")))
+        return F.when(own.isNull(), blank).otherwise(numbered)
+
+    named = heads.join(filled, ["file", "sheet"])
+    places = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: i.cast("int"))
+    return named.select("file", "sheet", F.transform(places, name).alias("header"), "row_no", "sheet_no")
 
 
 def workbook_regions(cells: DataFrame) -> tuple[dict[str, DataFrame], list[str]]:

@@ -97,3 +97,14 @@ def test_batches_of_other_widths_join_a_table(spark, tmp_path, rows):
     for bad in ("SELECT 3000000000L AS i", "SELECT 'x' AS i", "SELECT 1.5D AS l", "SELECT 1 AS other"):
         with pytest.raises(Conflict):
             store.append("t", spark.sql(bad))
+
+
+def test_repeated_and_blank_headers_of_a_sheet(spark, rows):
+    from rowmill.plans.files import workbook_bytes
+    from rowmill.sources import workbook
+
+    book = workbook_bytes({"S": [["id", "x", "x", None, "y"], [1, 2, 3, 4, 5, 6], [7, 8]]})
+    files = spark.createDataFrame([("b.xlsx", bytearray(book))], "path string, content binary")
+    found = workbook.workbook_regions(workbook.workbook_cells(files))[0]["S"]
+    assert found.columns == ["id", "x", "x_2", "column_4", "y", "column_6"]
+    assert rows(found) == [("1", "2", "3", "4", "5", "6"), ("7", "8", None, None, None, None)]
