@@ -240,7 +240,7 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, text_key, n_shingles, component_id, kept`` for every row.
+    """``id, text_key, n_shingles, component_id, kept, part`` for every row; ``part`` tells apart components of one id.
 
     Words are runs between ASCII white space, A-Z lowered; a set holds the distinct runs of five words, or the whole
     text if it has one to four. Sets are linked from a Jaccard similarity of 0.75 on, exactly; the component id
@@ -268,17 +268,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     comps = _links(classes, picked.select("text_key", "text"))
     named = classes.select("d1", "d2", "n", "rep", "min_id")
     if comps is None:
-        named = named.withColumn("component_id", F.col("min_id"))
+        named = named.withColumn("component_id", F.col("min_id")).withColumn("comp", F.col("rep"))
     else:
         named = named.join(comps, named["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "rep"))
         ids = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
         named = named.join(ids, "comp")
-    named = named.select("d1", "d2", "n", "component_id")
+    named = named.select("d1", "d2", "n", "component_id", F.col("comp").alias("part"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return (
         marked.select("id", "text_key", "n", "d1", "d2")
         .join(named, ["d1", "d2", "n"], "left")
-        .select("id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+        .select("id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "part")
     )
 
 
@@ -288,7 +288,22 @@ def document_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept: one id of each group, and every text without words."""
-    gone = near_duplicates(docs, id_column, text_column).where("NOT kept").select("id", "text_key").distinct()
+    """The rows of ``docs`` that are kept: one row of each group, and every text without words.
+
+    Of rows that repeat the id of their group, one text stays, and of rows that repeat id and text, any one.
+    """
+    found = saved(near_duplicates(docs, id_column, text_column), "near-duplicates")
+    kept = found.where("kept AND n_shingles > 0").groupBy("part", "id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    stay = kept.groupBy("part").agg(F.min("text_key").alias("stays"))
+    kept = saved(kept.join(stay, "part"), "kept")
+    gone = found.where("NOT kept").select("id", "text_key").distinct().unionByName(kept.where("text_key <> stays").select("id", "text_key"))
     key = F.coalesce(F.xxhash64(f"`{text_column}`"), F.lit(0))
-    return docs.join(gone, F.col(f"`{id_column}`").eqNullSafe(gone["id"]) & (key == gone["text_key"]), "left_anti")
+
+    def among(pairs: DataFrame) -> Column:
+        return docs[id_column].eqNullSafe(pairs["id"]) & (key == pairs["text_key"])
+
+    out = docs.join(gone, among(gone), "left_anti")
+    again = kept.where("rows > 1 AND text_key = stays").select("id", "text_key")
+    if again.isEmpty():
+        return out
+    return out.join(again, among(again), "left_anti").unionByName(out.join(again, among(again), "left_semi").dropDuplicates([id_column, text_column]))
