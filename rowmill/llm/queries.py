@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import codes, decontaminate, lines, mixing, neardup, pii, quality, sentencepiece, shards, twins, urls
+from rowmill.llm import (
+    codes,
+    decontaminate,
+    lines,
+    mixing,
+    neardup,
+    partcodes,
+    pii,
+    quality,
+    resample,
+    sentencepiece,
+    shards,
+    twins,
+    urls,
+    warc,
+)
 from rowmill.llm.registry import QUERIES, SQL, query
 from rowmill.llm.table import read
 
@@ -81,3 +96,22 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document by a model of the documents that are not held out."""
     return mixing.document_scores(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query(twins.ARCHIVES)
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written into web archives and read back."""
+    return warc.page_records(read(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query(twins.PART_CODES)
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding as a code of eight parts."""
+    return partcodes.compress(read(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query(twins.RESAMPLED)
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the longer documents, drawn by their likeness to the benchmark."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return resample.resample(docs, read(spark, folder, "benchmark", "text"))

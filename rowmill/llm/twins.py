@@ -148,3 +148,97 @@ p AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM p)
 SELECT query_id, rank::INT AS rank, neighbour_id, distance FROM o WHERE rank <= 10
 """
+
+ARCHIVES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS smallest FROM pages),
+t AS (SELECT *, CASE WHEN strlen(payload) >= 100 AND page_id IS DISTINCT FROM smallest THEN smallest END AS refers_to FROM p)
+SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest,
+    CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, TRUE AS verified
+FROM t
+"""
+
+
+def _part_codes(rounds: int = 6) -> str:
+    """Rounds of assignment and replacement, a step each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (
+    SELECT v, p, e, sum((x.c - y.c) * (x.c - y.c)) AS d FROM cells x JOIN b{r} y USING (p, o) GROUP BY ALL
+),
+a{r} AS MATERIALIZED (SELECT v, p, min(d) AS d, arg_min(e, (d, e)) AS e FROM d{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+b{r + 1} AS MATERIALIZED (
+    SELECT p, e, o, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+        SELECT p, e, o, ((sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS c
+        FROM a{r} JOIN cells USING (v, p) GROUP BY ALL
+    ) m USING (p, e, o)
+)""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS xs,
+        row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cells AS MATERIALIZED (
+    SELECT v, i // w AS p, i % w AS o, xs[i + 1] AS c
+    FROM (SELECT v, xs, len(xs) // 8 AS w, unnest(range(len(xs))) AS i FROM kept)
+),
+b0 AS MATERIALIZED (SELECT p, v AS e, o, c FROM cells WHERE v < 16),{",".join(steps)},
+coded AS (
+    SELECT v, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY v
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, o)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (v)
+"""
+
+
+PART_CODES = _part_codes()
+
+# The checksum of a text, byte by byte with a table that is computed here.
+_CRC = """
+list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(hex(encode(f))) // 2),
+    lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::UBIGINT)),
+    lambda r, b: xor(r >> 8, steps[(xor(r, b) & 255)::INT + 1]))
+"""
+
+RESAMPLED = f"""
+WITH steps AS (
+    SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+        lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END) ORDER BY i) AS steps
+    FROM range(256) t(i)
+),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT {_WORDS} AS ws FROM benchmark),
+df AS (SELECT r, unnest(ws || list_transform(range(len(ws) - 1), lambda i: ws[i + 1] || ' ' || ws[i + 2])) AS f FROM d),
+bf AS (SELECT unnest(ws || list_transform(range(len(ws) - 1), lambda i: ws[i + 1] || ' ' || ws[i + 2])) AS f FROM b),
+hashed AS MATERIALIZED (
+    SELECT f, (xor({_CRC}, 4294967295::UBIGINT) % 10000)::INT AS bucket
+    FROM (SELECT f FROM df UNION SELECT f FROM bf), steps
+),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000))))::BIGINT AS gain
+    FROM s FULL JOIN t USING (bucket)
+),
+w AS (
+    SELECT r, count(*) AS n, ((sum(gain) - ((sum(gain) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS weight
+    FROM df JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r
+),
+scored AS (
+    SELECT r, doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM d LEFT JOIN w USING (r)
+),
+drawn AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank
+    FROM scored WHERE n_words >= 20
+    QUALIFY rank <= 25 * count(*) OVER () // 100
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (r)
+"""
