@@ -157,6 +157,12 @@ def cluster_evidence(df: DataFrame, options: ImportOptions = DEFAULTS) -> DataFr
 _ID_ENDINGS = ("_id", "_key", "_code", "_email", "_sku", "_number")
 
 
+def identifier_rank(name: str) -> int:
+    """How little a name looks like an identifier's: the place of its ending, the number of endings for others."""
+    place = [i for i, e in enumerate(_ID_ENDINGS) if name.endswith(e)]
+    return place[0] if place else len(_ID_ENDINGS)
+
+
 def choose_entities(evidence: DataFrame) -> dict[str, str]:
     """Prefix -> key column from the evidence: identifier-like names first, then column order."""
     found: dict[str, list[str]] = {}
@@ -164,8 +170,7 @@ def choose_entities(evidence: DataFrame) -> dict[str, str]:
         found.setdefault(r["cluster"], []).append(r["key"])
 
     def preference(name: str) -> tuple[int, str]:
-        place = [i for i, e in enumerate(_ID_ENDINGS) if name.endswith(e)]
-        return (place[0] if place else len(_ID_ENDINGS), name)
+        return (identifier_rank(name), name)
 
     return {head: min(keys, key=preference) for head, keys in sorted(found.items())}
 

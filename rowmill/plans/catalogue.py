@@ -1,6 +1,16 @@
 """All registered queries; importing the groups fills the registry."""
 
-from rowmill.plans import browsing, cleaning, files, loading, profiling, records, streams, structuring  # noqa: F401
+from rowmill.plans import (  # noqa: F401
+    browsing,
+    cleaning,
+    discovering,
+    files,
+    loading,
+    profiling,
+    records,
+    streams,
+    structuring,
+)
 from rowmill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
