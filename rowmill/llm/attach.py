@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,30 +25,32 @@ def attach(
     gets a hot key. NULL keys match only with ``null_is_key``, and are spread otherwise. With ``parts`` the rows come
     in that many even partitions. Columns of ``df`` keep their names, ``values`` must not be among them.
     """
-    own, spread, is_hot, *hot_names = fresh(df, "fact_key", "fact_spread", "fact_hot", *(f"hot_{v}" for v in values))
+    n = len(values)
+    own, spread, is_hot, cold_own, cold_spread, *names = fresh(
+        df, "hot_key", "fact_spread", "fact_hot", "cold_key", "cold_spread", *(f"hot_{v}" for v in values), *(f"cold_{v}" for v in values)
+    )
     size = facts.agg(F.count(F.lit(1)).alias("keys"), F.sum(count).alias("rows")).first()
     few = size["keys"] <= frequent
-    hot = facts if few else facts.where(F.col(count) * frequent > size["rows"])
-    rows = df.select("*", F.monotonically_increasing_id().alias(spread))
+    often = F.lit(True) if few else F.col(count) * frequent > size["rows"]
+
+    def renamed(kept: Column, key_name: str, more: Column, value_names: Sequence[str]) -> DataFrame:
+        return facts.where(kept).select(F.col(key).alias(key_name), more, *(F.col(v).alias(x) for v, x in zip(values, value_names, strict=True)))
 
-    def same(there: DataFrame) -> Column:
-        return rows[key].eqNullSafe(there[own]) if null_is_key else rows[key] == there[own]
+    def same(name: str) -> Column:
+        return F.col(key).eqNullSafe(F.col(name)) if null_is_key else F.col(key) == F.col(name)
 
-    lit_hot = F.lit(True).alias(is_hot)
-    hot = hot.select(F.col(key).alias(own), lit_hot, *(F.col(v).alias(h) for v, h in zip(values, hot_names, strict=True)))
-    met = rows.join(F.broadcast(hot), same(hot), "left").drop(own)
+    rows = df.select("*", F.monotonically_increasing_id().alias(spread))
+    hot = renamed(often, own, F.lit(True).alias(is_hot), names[:n])
+    # The condition names columns that only one side has.
+    rows = rows.join(F.broadcast(hot), same(own), "left")
     if few:
-        out = met.repartition(parts, spread) if parts else met
-        return out.select(*df.columns, *(F.col(h).alias(v) for v, h in zip(values, hot_names, strict=True)))
+        rows = rows.repartition(parts, spread) if parts else rows
+        return rows.select(*(f"`{c}`" for c in df.columns), *(F.col(x).alias(v) for v, x in zip(values, names[:n], strict=True)))
     at_large = F.col(is_hot).isNotNull() if null_is_key else F.col(is_hot).isNotNull() | F.col(key).isNull()
-    met = met.withColumn(spread, F.when(at_large, F.col(spread) + 1).otherwise(0))
+    rows = rows.withColumn(spread, F.when(at_large, F.col(spread) + 1).otherwise(0))
     if parts:
-        met = met.repartition(parts, key, spread)
-    cold_spread, = fresh(met, "cold_spread")
-    cold = facts.where(F.col(count) * frequent <= size["rows"]).select(
-        F.col(key).alias(own), F.lit(0).cast("bigint").alias(cold_spread), *values
-    )
-    equal = met[key].eqNullSafe(cold[own]) if null_is_key else met[key] == cold[own]
-    joined = met.join(cold, reduce(Column.__and__, [equal, met[spread] == cold[cold_spread]]), "left")
-    found = (F.coalesce(met[h], cold[v]).alias(v) for v, h in zip(values, hot_names, strict=True))
-    return joined.select(*(met[c] for c in df.columns), *found)
+        rows = rows.repartition(parts, key, spread)
+    cold = renamed(~often, cold_own, F.lit(0).cast("bigint").alias(cold_spread), names[n:])
+    joined = rows.join(cold, same(cold_own) & (F.col(spread) == F.col(cold_spread)), "left")
+    found = (F.coalesce(h, c).alias(v) for v, h, c in zip(values, names[:n], names[n:], strict=True))
+    return joined.select(*(f"`{c}`" for c in df.columns), *found)

@@ -65,7 +65,8 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int, np.
         first = np.flatnonzero(of[1:] == of[:-1])
         spaced = STEPS[(one[first] ^ np.uint32(0x20)) & 255] ^ (one[first] >> 8)
         two = _feed(spaced, w.data, w.starts[first + 1], sizes[first + 1])
-        yield w.row, (one ^ np.uint32(0xFFFFFFFF)) % buckets, (two ^ np.uint32(0xFFFFFFFF)) % buckets, first, w.bounds
+        full = np.int64(0xFFFFFFFF)
+        yield w.row, (one ^ full) % buckets, (two ^ full) % buckets, first, w.bounds
 
 
 def bucket_counts(df: DataFrame, text_column: str = "text", buckets: int = BUCKETS) -> np.ndarray:

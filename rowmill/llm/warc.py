@@ -139,7 +139,7 @@ def _fields(head: bytes) -> dict[str, str]:
     name = None
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t") and name:
-            found[name] += " " + line.strip()
+            found[name] = f"{found[name]} {line.strip()}".strip()
         elif ":" in line:
             name, _, value = line.partition(":")
             name = name.strip().lower()
