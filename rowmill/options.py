@@ -19,6 +19,11 @@ class ImportOptions:
     snake_case: bool = True
     append: bool = False
     rates: DataFrame | None = None
+    # Types from the shapes of all cells: the share of a column's cells that must fit, and the order of dates
+    # whose cells leave it open (mdy or dmy).
+    typed: bool = False
+    min_fit: float = 0.95
+    date_order: str = "mdy"
     # Thresholds for the rules stated in prose (repetition, enumerations, tiny documents).
     min_repetition: float = 2.0
     enum_max_values: int = 20

@@ -4,6 +4,7 @@ from rowmill.plans import (  # noqa: F401
     browsing,
     cleaning,
     discovering,
+    evidencing,
     files,
     loading,
     profiling,

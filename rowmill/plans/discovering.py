@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.operators import dependencies
+from rowmill.operators import catalog, dependencies, digests
 from rowmill.plans import views as V
 from rowmill.plans.registry import query
 from rowmill.session import materialize
@@ -92,17 +92,10 @@ SELECT (SELECT count(*) FROM (SELECT * FROM bare EXCEPT ALL SELECT * FROM again)
 'articles.article, clients.client, ordereds.ordered' AS parents""")
 def split_discovered(spark: SparkSession, folder: str) -> DataFrame:
     """The tables found are stored rows less often and join back to the flat rows."""
-    from rowmill.operators import catalog, normalize
-
     flat = materialize(bare_sales(spark, folder), "bare")
-    tables, foreign = dependencies.split_discovered(flat, "sales")
-    # From the child outwards: a parent joins once its key is there.
-    again, todo = tables["sales"], [(p, k) for _, _, p, k in foreign]
-    while todo:
-        parent, key = next((p, k) for p, k in todo if k in again.columns)
-        again = again.join(tables[parent], key)
-        todo = [(p, k) for p, k in todo if p != parent]
-    lost = normalize.multiset_difference(flat, again.select(*flat.columns)).agg(F.count(F.lit(1)).alias("differing_rows"))
+    tables, keys = dependencies.split_entities(flat, "sales")
+    again = dependencies.joined_back(tables, "sales", keys)
+    lost = digests.differing_rows(flat, again).agg(F.count(F.lit(1)).alias("differing_rows"))
     stored = catalog.row_counts(tables).agg(F.sum("row_count").cast("bigint").alias("stored_rows"))
-    parents = ", ".join(sorted({f"{p}.{k}" for _, _, p, k in foreign}))
+    parents = ", ".join(sorted({f"{p}.{k}" for _, _, p, k in dependencies.references(tables, keys)}))
     return lost.select("differing_rows", stored.scalar().alias("stored_rows"), F.lit(parents).alias("parents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.operators import catalog, normalize, proposal, structure
+from rowmill.operators import catalog, digests, normalize, proposal, structure
 from rowmill.plans import views as V
 from rowmill.plans.importer import split_flat
 from rowmill.plans.profiling import CUSTOMER, ORDERS, column_profile_sql, load_type_sql
@@ -333,5 +333,5 @@ def split_lossless(spark: SparkSession, folder: str) -> DataFrame:
         parents.append((normalize.extract_entity(flat, key, attributes), key))
         child = normalize.child_with_key(child, attributes)
     again = normalize.rebuild(child, parents, flat.columns)
-    lost = normalize.multiset_difference(flat, again)
+    lost = digests.differing_rows(flat, again)
     return lost.agg(F.count(F.lit(1)).alias("differing_rows"))
