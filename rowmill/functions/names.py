@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,34 @@ def plural(name: str) -> str:
     return name + "s"
 
 
+# Plurals that do not follow the endings, and words whose singular ends in a silent e or in s.
+_IRREGULAR = {
+    "people": "person", "children": "child", "men": "man", "women": "woman", "mice": "mouse", "feet": "foot",
+    "teeth": "tooth", "geese": "goose", "indices": "index", "vertices": "vertex", "matrices": "matrix",
+    "analyses": "analysis", "crises": "crisis", "criteria": "criterion",
+}
+_UNCHANGED = ("series", "species", "news", "sheep")
+_ENDS_IN_IE = ("movie", "cookie", "calorie", "zombie", "selfie", "rookie", "brownie", "smoothie", "tie", "pie", "lie")
+_ENDS_IN_CHE = ("cache", "niche", "ache", "avalanche", "cliche")
+_ENDS_IN_USE = ("house", "cause", "clause", "pause", "excuse", "spouse", "use", "fuse", "muse")
+
+
+def _last_word(name: str, words: Iterable[str], ending: str = "") -> str | None:
+    """The word of the list that, with the ending, is the last word of a name."""
+    last = name.rsplit("_", 1)[-1]
+    # Compounds are written together too (warehouse); a short word must be the whole last word.
+    return next((w for w in words if last == w + ending or (len(w) > 4 and last.endswith(w + ending))), None)
+
+
 def singular(name: str) -> str:
-    """Inverse of :func:`plural` for the regular cases."""
+    """Inverse of :func:`plural`, also for irregular words; compound names change in their last word."""
+    head, sep, last = name.rpartition("_")
+    if last in _IRREGULAR:
+        return head + sep + _IRREGULAR[last]
+    if last in _UNCHANGED:
+        return name
+    if _last_word(name, (*_ENDS_IN_IE, *_ENDS_IN_CHE, *_ENDS_IN_USE), "s"):
+        return name[:-1]
     if name.endswith("ies"):
         return name[:-3] + "y"
     if name.endswith(("sses", "xes", "zzes", "ches", "shes", "uses")):

@@ -172,7 +172,9 @@ def browse(
             rows = df.filter(_after(keys, cursor if isinstance(cursor, tuple) else (cursor,)))
         rows = rows.orderBy(*[F.col(f"`{k}`").asc() for k in keys])
         return Page(rows.limit(limit + 1), limit, tuple(keys))
-    start = int(cursor) if isinstance(cursor, int) or (isinstance(cursor, str) and cursor.isdigit()) else 0
+    # Figures of other scripts and superscripts are no position, like any other text.
+    figures = isinstance(cursor, str) and cursor.isascii() and cursor.isdecimal()
+    start = int(cursor) if isinstance(cursor, int) or figures else 0
     rows = df.filter(where) if where is not None else df
     rows = rows.orderBy(*order) if order else rows
     rows = rows.offset(start) if start else rows

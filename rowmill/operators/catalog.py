@@ -11,8 +11,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.errors import IntakeError
 from rowmill.operators.infer import sql_type
 from rowmill.operators.profile import union_all
+from rowmill.operators.ranking import first_per_group
 
 CONSTRAINTS = "table string, column string, pos int, kind string, ref_table string, ref_column string"
 COLUMNS = "table string, column string, pos int, type string"
@@ -107,6 +109,14 @@ def load_order(names: Iterable[str], rules: DataFrame) -> list[str]:
     return out
 
 
+def _refuse_repeats(updates: DataFrame, keys: Sequence[str]) -> None:
+    named = [F.col(f"`{k}`") for k in keys]
+    repeated = updates.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*named).take(1)
+    if repeated:
+        values = ", ".join(f"{k} = {v!r}" for k, v in zip(keys, repeated[0], strict=True))
+        raise IntakeError(f"the updates send a key more than once: {values}")
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,
@@ -115,14 +125,23 @@ def upsert(
     partial: bool = False,
     clear: Mapping[str, Column] | None = None,
     guard: str | None = None,
+    latest: Sequence[Column] = (),
 ) -> DataFrame:
-    """Insert or overwrite rows by key; both sides are unique on ``keys``.
+    """Insert or overwrite rows by key; the stored rows are unique on ``keys``.
+
+    Updates that send a key twice are refused (``IntakeError``), as the order in which they count is not known; with
+    ``latest`` the one that is last in this order counts, ties going by all its columns.
 
     ``keep_first`` columns keep the stored value once set. With ``partial`` a NULL in the update leaves
     the stored value. ``clear`` names columns set to NULL where its condition on the update (columns
     prefixed ``new_``) holds. ``guard`` is a condition on the stored row (prefixed ``old_``); where it
     fails the stored row stays as it is.
     """
+    if latest:
+        order = [c.desc_nulls_last() for c in (*latest, *(F.col(f"`{c}`") for c in updates.columns))]
+        updates = first_per_group(updates, keys, order)
+    else:
+        _refuse_repeats(updates, keys)
     cols = target.columns
     a = target.select(*[F.col(f"`{c}`").alias(f"old_{c}") for c in cols], F.lit(True).alias("_stored"))
     b = updates.select(*[F.col(f"`{c}`").alias(f"new_{c}") for c in updates.columns], F.lit(True).alias("_sent"))

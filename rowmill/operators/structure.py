@@ -228,11 +228,18 @@ def names_agree(child_table: str, child: str, parent_table: str, parent: str) ->
     return child in (f"{one}_{parent}", f"{one}_id") and parent in ("id", f"{one}_id", child)
 
 
+FK_COLUMNS = (
+    "child_table string, child_column string, parent_table string, parent_column string, child_distinct long, matched long, "
+    "coverage double, is_fk boolean"
+)
+
+
 def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Foreign keys the data supports: every child value occurs in a parent key of agreeing name.
 
     All columns share one grouping by value: each value carries a bit per column it occurs in, so
-    inclusion of any pair is a bit test in one aggregate - no value join and no pairs per value. A parent is a key when it has as many distinct values as filled cells.
+    inclusion of any pair is a bit test in one aggregate - no value join and no pairs per value. A parent is a key when
+    it has as many distinct values as filled cells. Without a pair of agreeing names there are no rows.
     ``child_table, child_column, parent_table, parent_column, child_distinct, matched, coverage, is_fk``.
     """
     kinds = {
@@ -248,11 +255,12 @@ def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
         if child[0] != parent[0] and kind == other and names_agree(*child, *parent)
     ]
     if not pairs:
-        raise ValueError("no pair of columns has agreeing names")
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], FK_COLUMNS)
     used = {column for pair in pairs for column in pair}
     ids, cells = long_cells(tables, lambda t, name, _: (t, name) in used)
     number = {column: i for i, column in enumerate(ids)}
-    found = _inclusion(cells, [(c, p, number[c], number[p]) for c, p in pairs])
+    found = inclusion(cells, [(c, p, number[c], number[p]) for c, p in pairs])
     filled = union_all(
         [
             column_stats(tables[t].select(*[f"`{n}`" for tt, n in ids if tt == t])).select(
@@ -281,7 +289,11 @@ def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
 _WORD = 62
 
 
-def _inclusion(cells: DataFrame, pairs: list[tuple[tuple[str, str], tuple[str, str], int, int]]) -> DataFrame:
+def inclusion(cells: DataFrame, pairs: list[tuple[tuple[str, str], tuple[str, str], int, int]]) -> DataFrame:
+    """Distinct values of child and parent, and how many of the child's the parent has, of each pair of columns.
+
+    A pair is (child, parent) as (table, column) and their numbers in ``cells`` (see ``long_cells``).
+    """
     used = sorted({i for _, _, c, p in pairs for i in (c, p)})
     words = sorted({i // _WORD for i in used})
     masks = [

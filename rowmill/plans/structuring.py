@@ -177,6 +177,40 @@ def proposal_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _named(proposal.propose(read_tables(spark, folder, ["customer", "nation", "orders"])))
 
 
+@query(_proposal_sql("part", PART, {}))
+def propose_single(spark: SparkSession, folder: str) -> DataFrame:
+    """The proposal for one table alone, which has no references to find."""
+    return _named(proposal.propose({"part": read_table(spark, folder, "part")}))
+
+
+@query("""SELECT 'visits' AS child_table, 'house_id' AS child_column, 'houses' AS parent_table, 'id' AS parent_column,
+count(DISTINCT s_nationkey) AS child_distinct, count(DISTINCT s_nationkey) AS matched, true AS is_fk FROM supplier
+UNION ALL SELECT 'houses', 'series_id', 'series', 'id', count(DISTINCT n_regionkey), count(DISTINCT n_regionkey), true FROM nation
+UNION ALL SELECT 'rentals', 'movie_id', 'movies', 'id', count(DISTINCT o_custkey), count(DISTINCT o_custkey), true FROM orders""")
+def fk_irregular_plurals(spark: SparkSession, folder: str) -> DataFrame:
+    """References to tables whose singular does not follow from an ending."""
+    tables = {
+        "houses": read_table(spark, folder, "nation").selectExpr("n_nationkey AS id", "n_regionkey AS series_id"),
+        "series": read_table(spark, folder, "region").selectExpr("r_regionkey AS id"),
+        "visits": read_table(spark, folder, "supplier").selectExpr("s_nationkey AS house_id"),
+        "movies": read_table(spark, folder, "customer").selectExpr("c_custkey AS id"),
+        "rentals": read_table(spark, folder, "orders").selectExpr("o_custkey AS movie_id"),
+    }
+    return structure.fk_candidates(tables).drop("coverage")
+
+
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal FROM customer
+UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal + 1 FROM supplier""")
+def upsert_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Updates that name a key several times: the last one by their own number counts."""
+    stored = read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_acctbal"])
+    twice = F.explode(F.array(F.lit(1), F.lit(2))).alias("turn")
+    changed = stored.where("c_custkey % 3 = 0").select("c_custkey", "c_name", (F.col("c_acctbal")).alias("was"), twice)
+    new = read_table(spark, folder, "supplier").selectExpr("s_suppkey + 1000000 AS c_custkey", "s_name AS c_name", "s_acctbal AS was", "1 AS turn")
+    sent = changed.unionByName(new).select("c_custkey", "c_name", (F.col("was") + F.col("turn")).alias("c_acctbal"), "turn")
+    return catalog.upsert(stored, sent, ["c_custkey"], latest=[F.col("turn")])
+
+
 _CUSTOMER_NEXT = """next AS (SELECT c_custkey, CASE WHEN c_nationkey > 0 THEN c_name END AS c_name,
   CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS c_cents,
   c_mktsegment FROM customer_v2)"""
