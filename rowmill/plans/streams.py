@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from rowmill.plans import views as V
 from rowmill.plans.registry import query
+from rowmill.session import scratch_dir
 from rowmill.sources.tables import read_table
 from rowmill.streaming import events as E
+from rowmill.streaming import timers
+from rowmill.streaming.state_table import StateTable
 
 WAITING = ("error", "view")
 
@@ -101,3 +104,101 @@ def snapshot_then_deltas(spark: SparkSession, folder: str) -> DataFrame:
     newest = F.max(F.struct("ts", "event_id", "status")).alias("_l")
     merged = parts.groupBy("run_id").agg(newest, F.sum("events").cast("long").alias("events"))
     return _state(merged.select("run_id", "_l.status", "_l.ts", "_l.event_id", "events"))
+
+
+# JSON times are cut to milliseconds by default.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+ARRIVALS = "run_id long, event_id long, ts timestamp, status string"
+# Seconds by status after which a wait has failed.
+LIMITS = {"error": 4 * 3600, "view": 2 * 3600}
+
+
+def _arrivals(spark: SparkSession, folder: str, path: str, parts: range, of: int = 10, repeats: bool = False) -> None:
+    """Some of the ``of`` parts in which the events arrive, a JSON file each, in the order of time.
+
+    Events of the last half hour of a part come with the next one if their number is odd. With ``repeats`` every fourth
+    event comes again in the next part.
+    """
+    events = V.run_events(spark, folder)
+    ends = events.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    step = (ends["b"] - ends["a"]) // of + 1
+    since = F.unix_micros("ts") - F.lit(ends["a"])
+    part = F.floor(since / step).cast("int")
+    late = (F.col("event_id") % 2 == 1) & (since % step > step - 1_800_000_000) & (part < of - 1)
+    sent = events.withColumn("part", part + F.when(late, 1).otherwise(0))
+    if repeats:
+        again = sent.where((F.col("event_id") % 4 == 0) & (F.col("part") < of - 1)).withColumn("part", F.col("part") + 1)
+        sent = sent.unionByName(again)
+    for i in parts:
+        # One file is one batch of the stream.
+        sent.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").option("timestampFormat", MICROS).json(path)
+
+
+def _state_table(spark: SparkSession) -> StateTable:
+    schema = E.latest_state(spark.createDataFrame([], ARRIVALS)).schema
+    return StateTable(spark, scratch_dir(spark, "state-table"), schema, "run_id", ["ts", "event_id", "status"], ["events"], buckets=16)
+
+
+@query(_LATEST)
+def stream_state_table(spark: SparkSession, folder: str) -> DataFrame:
+    """State of every run in a table that ten batches of JSON events are merged into, one of them twice."""
+    path, table = scratch_dir(spark, "arrivals"), _state_table(spark)
+    _arrivals(spark, folder, path, range(10))
+    stream = E.read_event_stream(spark, path, ARRIVALS, files_per_batch=1)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(E.latest_state(batch), number)
+        if number == 3:
+            table.merge(E.latest_state(batch), number)
+
+    run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch_dir(spark, "state-log")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _state(table.read())
+
+
+@query(_LATEST)
+def snapshot_position(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored state with its source position, and a consumer that follows from there in several batches."""
+    path, log, table = scratch_dir(spark, "arrivals"), scratch_dir(spark, "position"), _state_table(spark)
+    _arrivals(spark, folder, path, range(6))
+    stream = E.read_event_stream(spark, path, ARRIVALS, files_per_batch=2)
+    E.keep_state(stream, table, log)
+    state = table.read()
+    _arrivals(spark, folder, path, range(6, 10))
+    later = spark.read.schema(ARRIVALS).parquet(E.follow(stream, log, scratch_dir(spark, "later")))
+    parts = state.unionByName(E.latest_state(later))
+    newest = F.max(F.struct("ts", "event_id", "status")).alias("_l")
+    merged = parts.groupBy("run_id").agg(newest, F.sum("events").cast("long").alias("events"))
+    return _state(merged.select("run_id", "_l.status", "_l.ts", "_l.event_id", "events"))
+
+
+_LIMITED = f"""WITH {V.RUN_EVENTS}, gaps AS (SELECT *, lead(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS next,
+CASE status WHEN 'error' THEN ts + INTERVAL 4 HOUR WHEN 'view' THEN ts + INTERVAL 2 HOUR END AS failed_at FROM run_events)
+SELECT run_id, status, epoch_us(ts) AS since, epoch_us(failed_at) AS failed FROM gaps
+WHERE failed_at IS NOT NULL AND (next IS NULL OR next > failed_at)"""
+
+
+@query(_LIMITED)
+def wait_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs that stayed in a status for longer than its own limit, from stored events."""
+    return _waits(timers.wait_limits(V.run_events(spark, folder), LIMITS))
+
+
+@query(_LIMITED + " AND failed_at <= (SELECT max(ts) FROM run_events) - INTERVAL 1 HOUR")
+def stream_wait_timers(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by timers, from ten batches with late and repeated events: everything the watermark has passed."""
+    path = scratch_dir(spark, "arrivals")
+    _arrivals(spark, folder, path, range(10), repeats=True)
+    found = timers.wait_timers(E.read_event_stream(spark, path, ARRIVALS, files_per_batch=1), LIMITS)
+    with timers.timer_store(spark):
+        out = E.append_to_folder(found, "timers")
+    return _waits(spark.read.schema(found.schema).parquet(out))
+
+
+@query(f"WITH {V.RUN_EVENTS} SELECT run_id, event_id, status FROM run_events")
+def stream_dedup_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that come late, and some again with the next batch, are kept once each."""
+    path = scratch_dir(spark, "arrivals")
+    _arrivals(spark, folder, path, range(10), repeats=True)
+    kept = E.deduplicated(E.read_event_stream(spark, path, ARRIVALS, files_per_batch=1)).select("run_id", "event_id", "status")
+    return spark.read.schema(kept.schema).parquet(E.append_to_folder(kept, "dedup"))

@@ -16,15 +16,19 @@ from pyspark.sql.types import StructType
 
 from rowmill.operators.runlog import FINAL
 from rowmill.session import scratch_dir
+from rowmill.streaming.state_table import StateTable
 
 EVENT_SCHEMA = "run_id long, event_id long, ts timestamp, status string, payload string"
 
 
 def read_event_stream(
-    spark: SparkSession, path: str, schema: StructType | str = EVENT_SCHEMA, fmt: str = "json", glob: str | None = None
+    spark: SparkSession, path: str, schema: StructType | str = EVENT_SCHEMA, fmt: str = "json", glob: str | None = None,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """File stream over a folder of event files."""
+    """File stream over a folder of event files, in batches of so many files by age if told."""
     reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.format(fmt).load(path)
@@ -130,6 +134,34 @@ def newest_batch(spark: SparkSession, folder: str, schema: StructType, key: str
     return newest.select(key, *[F.col("_r")[c].alias(c) for c in others])
 
 
+def keep_state(stream: DataFrame, table: StateTable, log: str, trigger: dict | None = None) -> None:
+    """Merge the events of a stream, batch by batch, into a table of the newest state per run.
+
+    Each batch is folded to a row per run first. ``log`` is the checkpoint: the source position that the table covers.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(latest_state(batch), number)
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", log).trigger(**(trigger or {"availableNow": True})).start()
+    query.awaitTermination()
+
+
+def follow(stream: DataFrame, log: str, out: str, trigger: dict | None = None) -> str:
+    """Append the events after the position in ``log`` to a folder, a sub-folder per batch.
+
+    Started on the checkpoint of :func:`keep_state` it reads only what that state does not cover, by the source's own
+    position: files or offsets, not a comparison with events of the past.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(**(trigger or {"availableNow": True})).start()
+    query.awaitTermination()
+    return out
+
+
 def snapshot_then_deltas(stored: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a new consumer gets: the current state of every run, then the events that follow it.
 
