@@ -204,13 +204,16 @@ def samples(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None =
     return ranked.filter(F.col("rank") <= SAMPLE_LIMIT).select("column", "rank", "value")
 
 
-def region_profile(df: DataFrame, order: Sequence[str], region: str = "default") -> DataFrame:
-    """Profile rows with their samples as an array (at most five each)."""
-    taken = samples(df, order)
+def region_profile(
+    df: DataFrame, order: Sequence[str], region: str = "default", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Profile rows with their samples as an array (at most five each), of all columns or of some."""
+    taken = samples(df, order, columns)
     lists = taken.groupBy("column").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("samples")
     )
-    joined = profile_columns(df).join(lists, "column", "left")
+    shown = df if columns is None else df.select(*[f"`{c}`" for c in columns])
+    joined = profile_columns(shown).join(lists, "column", "left")
     empty = F.array().cast("array<string>")
     return joined.withColumn("samples", F.coalesce("samples", empty)).select(F.lit(region).alias("region"), "*")
 

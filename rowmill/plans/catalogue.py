@@ -6,6 +6,7 @@ from rowmill.plans import (  # noqa: F401
     discovering,
     evidencing,
     files,
+    intaking,
     loading,
     profiling,
     records,

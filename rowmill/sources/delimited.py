@@ -6,13 +6,22 @@ from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.errors import BadEncoding
 
 CORRUPT = "_corrupt_record"
 SOURCE = "_source_file"
+# Where a row stands: file, block of the file and place in the block, in this order of comparison.
+AT = "_at"
+
+
+def place(*more: Column) -> Column:
+    """The position of a scanned row, stable however its blocks are dealt to tasks; ``more`` tells rows of one record apart."""
+    at = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    parts = more or (F.lit(0),)
+    return F.struct(*at, F.monotonically_increasing_id().alias("row"), *(c.cast("bigint").alias("part") for c in parts))
 
 
 def inspect_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -47,9 +56,12 @@ def read_delimited(
     sep: str = ",",
     multiline: bool | None = None,
     check: bool = True,
+    positions: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Text columns of one or many files, and the ragged rows. Both frames carry the source file.
 
+    With ``positions`` whole rows carry their place in the files, in the column ``AT``.
+
     Each file is read by its own header: files with the same columns in another order are matched by name. Rows
     of files that have other columns than the first file (by path) cannot be matched, and come back as ragged. So do
     rows with too few or too many cells. ``multiline=None`` looks for files that have cells with line breaks;
@@ -66,9 +78,9 @@ def read_delimited(
         broken = f["open"] if multiline is None else multiline
         groups.setdefault((f["header"].rstrip("\r"), broken), []).append(_local(f["file"]))
     if not groups:
-        whole, ragged = _read_alike(spark, found, sep, bool(multiline))
+        whole, ragged = _read_alike(spark, found, sep, bool(multiline), positions)
         return whole, ragged
-    read = [_read_alike(spark, members, sep, broken) for (_, broken), members in groups.items()]
+    read = [_read_alike(spark, members, sep, broken, positions) for (_, broken), members in groups.items()]
     first = read[0][0]
     wholes, raggeds = [], []
     for whole, ragged in read:
@@ -76,7 +88,7 @@ def read_delimited(
         if set(whole.columns) == set(first.columns):
             wholes.append(whole.select(*[f"`{c}`" for c in first.columns]))
         else:
-            cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in whole.columns if c != SOURCE]
+            cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in whole.columns if c not in (SOURCE, AT)]
             raggeds.append(whole.select(SOURCE, F.concat_ws(sep, *cells).alias("record")))
     return reduce(DataFrame.unionByName, wholes), reduce(DataFrame.unionByName, raggeds)
 
@@ -86,7 +98,9 @@ def _local(uri: str) -> str:
     return unquote(uri) if urlsplit(uri).scheme else uri
 
 
-def _read_alike(spark: SparkSession, found: str | list[str], sep: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
+def _read_alike(
+    spark: SparkSession, found: str | list[str], sep: str, multiline: bool, positions: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Whole and ragged rows of files with one header."""
     reader = (
         spark.read.option("header", True)
@@ -105,7 +119,7 @@ def _read_alike(spark: SparkSession, found: str | list[str], sep: str, multiline
     # The scan refuses to serve the corrupt column alone (a plain count would), so an empty slice of
     # the first cell travels with it.
     mark = F.concat_ws("", F.col(CORRUPT), F.substring(F.col(f"`{names[0]}`"), 1, 0))
-    rows = rows.withColumns({SOURCE: F.col("_metadata.file_path"), CORRUPT: mark})
+    rows = rows.withColumns({SOURCE: F.col("_metadata.file_path"), CORRUPT: mark} | ({AT: place()} if positions else {}))
     whole = rows.filter(F.col(CORRUPT) == "").drop(CORRUPT)
     ragged = rows.filter(F.col(CORRUPT) != "").select(SOURCE, F.col(CORRUPT).alias("record"))
     return whole, ragged

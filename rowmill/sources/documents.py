@@ -16,20 +16,20 @@ from rowmill.sources.workbook import read_workbooks
 Regions = tuple[dict[str, DataFrame], list[str]]
 
 
-def _csv(spark: SparkSession, path: str) -> Regions:
-    return {"default": read_csv(spark, path)}, []
+def _csv(spark: SparkSession, path: str, positions: bool = False) -> Regions:
+    return {"default": read_csv(spark, path, positions=positions)}, []
 
 
-def _tsv(spark: SparkSession, path: str) -> Regions:
-    return {"default": read_tsv(spark, path)}, []
+def _tsv(spark: SparkSession, path: str, positions: bool = False) -> Regions:
+    return {"default": read_tsv(spark, path, positions=positions)}, []
 
 
-def _json(spark: SparkSession, path: str) -> Regions:
-    regions, notes = read_json(spark, path)
+def _json(spark: SparkSession, path: str, positions: bool = False) -> Regions:
+    regions, notes = read_json(spark, path, positions)
     return {name: flattened(df) for name, df in regions.items()}, notes
 
 
-READERS: dict[str, Callable[[SparkSession, str], Regions]] = {
+READERS: dict[str, Callable[..., Regions]] = {
     "csv": _csv,
     "tsv": _tsv,
     "json": _json,
@@ -46,13 +46,15 @@ def extension(name: str) -> str:
 
 
 def read_document(
-    spark: SparkSession, path: str, ext: str | None = None, infer: bool = True, first_rows: int | None = None
+    spark: SparkSession, path: str, ext: str | None = None, infer: bool = True, first_rows: int | None = None,
+    positions: bool = False,
 ) -> Regions:
     """Regions of a document as frames, with inferred types unless ``infer`` is off, and notes.
 
+    With ``positions`` every row carries its place in the files (file, block, row, part) in the column ``AT``.
     ``first_rows`` infers from a leading window instead of reading everything for it.
     """
-    regions, notes = READERS[extension(f"x.{ext}" if ext else path)](spark, path)
+    regions, notes = READERS[extension(f"x.{ext}" if ext else path)](spark, path, positions)
     if infer:
         regions = {name: typed(df, first_rows) for name, df in regions.items()}
     return regions, notes

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, StructType
 
+from rowmill.sources.delimited import AT, place
+
 NO_SHAPE = "No JSON records found: expected an array of objects, an object of arrays, or an object per line."
 BAD_LINE = "Some lines are no JSON objects."
 CORRUPT = "_corrupt_record"
@@ -105,8 +107,12 @@ def _is_list(field) -> bool:
     return isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StructType)
 
 
-def _read(spark: SparkSession, path: str) -> tuple[set[str], dict[str, DataFrame], list[str]]:
-    """Shapes found, regions, and notes on files without a shape."""
+def _read(spark: SparkSession, path: str, positions: bool = False) -> tuple[set[str], dict[str, DataFrame], list[str]]:
+    """Shapes found, regions, and notes on files without a shape; ``positions`` adds the column ``AT`` to the rows."""
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(AT, place()) if positions else rows
+
     kinds = _kinds(spark, path)
     shapes: set[str] = set()
     regions: dict[str, list[DataFrame]] = {}
@@ -115,7 +121,7 @@ def _read(spark: SparkSession, path: str) -> tuple[set[str], dict[str, DataFrame
         rows = _good(_reader(spark, True).json(kinds["array"]), notes, NO_SHAPE)
         if rows.columns:
             shapes.add("array")
-            regions.setdefault("default", []).append(rows)
+            regions.setdefault("default", []).append(placed(rows))
         else:
             notes += [f"{_name(f)}: {NO_SHAPE}" for f in kinds["array"]]
     lined = list(kinds.get("lines", []))
@@ -132,7 +138,7 @@ def _read(spark: SparkSession, path: str) -> tuple[set[str], dict[str, DataFrame
             shapes.add("object")
             whole = _reader(spark, True).json(sorted(shaped))
             for f in whole.columns:
-                regions.setdefault(f, []).append(whole.select(F.inline(F.col(f"`{f}`"))))
+                regions.setdefault(f, []).append(_elements(whole, f, positions))
         if kind == "record":
             lined += rest
         else:
@@ -141,25 +147,34 @@ def _read(spark: SparkSession, path: str) -> tuple[set[str], dict[str, DataFrame
         rows = _good(_reader(spark, False).json(sorted(lined)), notes, BAD_LINE)
         if rows.columns:
             shapes.add("lines")
-            regions.setdefault("default", []).append(rows)
+            regions.setdefault("default", []).append(placed(rows))
         else:
             notes += [f"{_name(f)}: {NO_SHAPE}" for f in lined]
     return shapes, {name: _union(frames) for name, frames in regions.items()}, notes
 
 
+def _elements(whole: DataFrame, name: str, positions: bool) -> DataFrame:
+    """The objects of a list, a row each."""
+    if not positions:
+        return whole.select(F.inline(F.col(f"`{name}`")))
+    rows = whole.select(place().alias(AT), F.posexplode(F.col(f"`{name}`")).alias("_i", "_v"))
+    at = F.struct(F.col(f"{AT}.file"), F.col(f"{AT}.block"), F.col(f"{AT}.row"), F.col("_i").cast("bigint").alias("part"))
+    return rows.where("_v IS NOT NULL").select("_v.*", at.alias(AT))
+
+
 def json_shape(spark: SparkSession, path: str) -> str:
     """``array``, ``object``, ``lines`` or ``none``; ``mixed`` for a folder that holds several."""
     shapes = _read(spark, path)[0]
     return shapes.pop() if len(shapes) == 1 else "mixed" if shapes else "none"
 
 
-def read_json(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
+def read_json(spark: SparkSession, path: str, positions: bool = False) -> tuple[dict[str, DataFrame], list[str]]:
     """Regions of a document or folder and notes; a file that cannot be read gives a note, not an error.
 
     Files of records, as arrays or by line, make up the region ``default``; each list of an object of
     arrays is a region of its name.
     """
-    _, regions, notes = _read(spark, path)
+    _, regions, notes = _read(spark, path, positions)
     return regions, notes or ([] if regions else [NO_SHAPE])
 
 
@@ -167,7 +182,7 @@ def flattened(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, the form in which they are profiled and loaded."""
     return df.select(
         *[
-            F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`")
+            F.to_json(F.col(f"`{c}`")).alias(c) if c != AT and t.startswith(("array", "map", "struct")) else F.col(f"`{c}`")
             for c, t in df.dtypes
         ]
     )

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.session import materialize
+from rowmill.sources.delimited import AT
 
 # Executors need not have this package installed: the parser travels with its tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -180,9 +181,10 @@ def sheet_headers(cells: DataFrame) -> DataFrame:
     return named.select("file", "sheet", F.transform(places, name).alias("header"), "row_no", "sheet_no")
 
 
-def workbook_regions(cells: DataFrame) -> tuple[dict[str, DataFrame], list[str]]:
+def workbook_regions(cells: DataFrame, positions: bool = False) -> tuple[dict[str, DataFrame], list[str]]:
     """One region per sheet name over all workbooks, as text columns in sheet order, and notes.
 
+    With ``positions`` rows carry file, sheet and row number in the column ``AT``.
     Sheets without rows do not appear. Columns are found by name, so workbooks of one collection may
     order them differently. Only the distinct headers reach the driver.
     """
@@ -193,15 +195,19 @@ def workbook_regions(cells: DataFrame) -> tuple[dict[str, DataFrame], list[str]]
         names = list(dict.fromkeys(h for r in layouts if r["sheet"] == sheet for h in r["header"] if h is not None))
         marks = headers.filter(F.col("sheet") == sheet).select(F.col("file").alias("_f"), "header", F.col("row_no").alias("_h"))
         body = cells.filter(F.col("sheet") == sheet).join(marks, F.col("file") == F.col("_f")).filter("row_no > _h")
+        at = F.struct(
+            "file", F.col("sheet_no").cast("bigint").alias("block"), F.col("row_no").cast("bigint").alias("row"), F.lit(0).cast("bigint").alias("part")
+        )
         regions[sheet] = body.select(
-            *[F.get("cells", (F.array_position("header", n) - 1).cast("int")).alias(n) for n in names]
+            *[F.get("cells", (F.array_position("header", n) - 1).cast("int")).alias(n) for n in names],
+            *([at.alias(AT)] if positions else []),
         )
     return regions, [] if regions else ["No sheet of the workbook has cells."]
 
 
-def read_workbooks(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
+def read_workbooks(spark: SparkSession, path: str, positions: bool = False) -> tuple[dict[str, DataFrame], list[str]]:
     """Regions of the workbooks below ``path``.
 
     The cells are parsed once and stored, because headers and every sheet read them again.
     """
-    return workbook_regions(materialize(workbook_cells(workbook_files(spark, path)), "workbook"))
+    return workbook_regions(materialize(workbook_cells(workbook_files(spark, path)), "workbook"), positions)
