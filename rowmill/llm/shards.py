@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,37 +16,40 @@ from rowmill.llm.table import fresh, replace, saved
 RANGES_PER_SHARD = 128
 # Sampled keys per range; all rows are sampled when there are fewer.
 SAMPLES_PER_RANGE = 8
+# A range above this many times its fair size is split again.
+OVERFULL = 2
+# Rounds of splitting at most. Each cuts an overfull range to about its fair size, unless one row is larger than that.
+ROUNDS = 6
 
+Key = tuple[int, int, int]
 
-def _splitters(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of a sample in which each row's chance is in proportion to its size.
 
-    The sample is bounded by ``ranges * SAMPLES_PER_RANGE`` in expectation, and is drawn by a hash of
-    the key, so that a repeated task draws the same rows.
-    """
-    wanted = ranges * SAMPLES_PER_RANGE
-    total = keys.agg(F.sum("size").alias("b")).first()["b"] or 0
-    chance = F.pmod(F.xxhash64(F.lit(7), "k1", "k2"), F.lit(1 << 40)) / float(1 << 40)
-    picked = keys.where(chance < F.col("size") * (wanted / max(total, 1))).select("k1", "k2").distinct()
-    sample = sorted((r["k1"], r["k2"]) for r in picked.toLocalIterator())
-    at = [i * len(sample) // ranges for i in range(1, ranges)]
-    return sorted({sample[i] for i in at}) if sample else []
+def _sample(keys: DataFrame, rate: Column, seed: int) -> list[Key]:
+    """Keys drawn with a chance of ``size * rate``, in order; by a hash of the key, so a repeated task draws the same."""
+    chance = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "k3"), F.lit(1 << 40)) / float(1 << 40)
+    picked = keys.where(chance < F.col("size") * rate).select("k1", "k2", "k3")
+    return sorted((r["k1"], r["k2"], r["k3"]) for r in picked.toLocalIterator())
+
 
+def _quantiles(sample: Sequence[Key], parts: int) -> list[Key]:
+    """The keys that cut a sorted sample into so many parts of equal number."""
+    return sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
-def _range_of(k1: Column, k2: Column, splitters: Sequence[tuple[int, int]]) -> Column:
+
+def _range_of(key: Sequence[Column], splitters: Sequence[Key]) -> Column:
     """How many splitters are at or below the key: a binary search in a constant array."""
     if not splitters:
         return F.lit(0)
     bounds = F.from_json(
-        F.lit(json.dumps([{"a": a, "b": b} for a, b in splitters])), "array<struct<a:bigint,b:bigint>>"
+        F.lit(json.dumps([{"a": a, "b": b, "c": c} for a, b, c in splitters])), "array<struct<a:bigint,b:bigint,c:bigint>>"
     )
     n = len(splitters)
+    own = F.struct(*(c.alias(x) for c, x in zip(key, "abc", strict=True)))
 
     def step(acc: Column, _: Column) -> Column:
         low, high = acc["low"], acc["high"]
         mid = F.floor((low + high) / 2).cast("int")
-        bound = F.get(bounds, mid)
-        below = (bound["a"] < k1) | ((bound["a"] == k1) & (bound["b"] <= k2))
+        below = F.get(bounds, mid) <= own
         open_ = low < high
         return F.struct(
             F.when(open_ & below, mid + 1).otherwise(low).alias("low"),
@@ -55,55 +60,89 @@ def _range_of(k1: Column, k2: Column, splitters: Sequence[tuple[int, int]]) -> C
     return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, step, lambda acc: acc["low"])
 
 
+def _facts(keys: DataFrame, splitters: Sequence[Key]) -> dict[int, tuple[int, int]]:
+    """Exact bytes and rows of each range that has rows; at most a row per range comes back."""
+    place = _range_of([F.col("k1"), F.col("k2"), F.col("k3")], splitters).alias("r")
+    found = keys.groupBy(place).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).orderBy("r").collect()
+    return {r["r"]: (r["bytes"], r["rows"]) for r in found}
+
+
+def _ranges(keys: DataFrame, ranges: int) -> tuple[list[Key], dict[int, tuple[int, int]]]:
+    """Splitters of ranges of near-equal bytes, and the exact bytes and rows of the ranges.
+
+    The first splitters are quantiles of a size-weighted sample. A range whose exact size proves overfull is sampled
+    again, as densely as its size asks for, and split at the quantiles found inside it. All samples together are
+    bounded by the number of ranges.
+    """
+    total = keys.agg(F.sum("size").alias("b")).first()["b"] or 0
+    fair = max(1, total / ranges)
+    splitters = _quantiles(_sample(keys, F.lit(SAMPLES_PER_RANGE / fair), 7), ranges)
+    facts = _facts(keys, splitters)
+    for turn in range(ROUNDS):
+        # One row alone cannot be split.
+        over = {r for r, (size, rows) in facts.items() if size > OVERFULL * fair and rows > 1}
+        if not over:
+            break
+        place = _range_of([F.col("k1"), F.col("k2"), F.col("k3")], splitters)
+        inside = keys.where(place.isin(sorted(over)))
+        more: dict[int, list[Key]] = {}
+        for key in _sample(inside, F.lit(SAMPLES_PER_RANGE / fair), 8 + turn):
+            more.setdefault(bisect_right(splitters, key), []).append(key)
+        added = {q for r, sample in more.items() for q in _quantiles(sample, max(2, math.ceil(facts[r][0] / fair)))}
+        if added <= set(splitters):
+            break
+        splitters = sorted(added | set(splitters))
+        facts = _facts(keys, splitters)
+    return splitters, facts
+
+
 def assign(df: DataFrame, size: Column, group: Column, row_id: Column, shards: int) -> DataFrame:
     """Add ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 in its shard) to every row.
 
-    Rows are ordered by (``group``, ``row_id``), both bigint. Keys are sampled with a chance in
-    proportion to ``size``; sample quantiles are the splitters of many small ranges, more of which fall
-    into a hot group, so that it is subdivided at its row ids. Exact bytes and rows of the ranges then
-    place each range in a shard, the cumulative middle deciding, and a row's slot is the rows of the
-    ranges before it in its shard plus its place in its range. No task sorts more than a range: about
-    1 / (shards * RANGES_PER_SHARD) of the bytes.
+    Rows are ordered by (``group``, ``row_id``), both bigint, rows equal in both by a number that they get when they
+    are written to the shared folder first, so that no key is hot: a record that is repeated is subdivided
+    like any other. Keys are sampled with a chance in proportion to ``size``; sample quantiles are the splitters
+    of many small ranges. Exact bytes tell overfull ranges, which are sampled and split again. Exact bytes and rows
+    of the ranges then place each range in a shard, the cumulative middle deciding, and a row's slot is the
+    rows of the ranges before it in its shard plus its place in its range. No task sorts a group larger than a range: about
+    1 / (shards * RANGES_PER_SHARD) of the bytes, or one row.
 
-    NULL sizes count as 0, NULL keys as the smallest key. Rows equal in group and row id share a range
-    (they are the same record to this order) and get different slots. No rows: no output rows. Columns
-    called ``shard`` or ``slot`` are replaced; any other column is kept.
+    NULL sizes count as 0, NULL keys as the smallest key. No rows: no output rows. Columns called ``shard`` or ``slot``
+    are replaced; any other column is kept.
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    k1, k2, size_name, place = fresh(df, "k1", "k2", "size", "range")
+    k1, k2, k3, size_name, place = fresh(df, "k1", "k2", "k3", "size", "range")
     low = F.lit(-(1 << 63))
-    keyed = df.select(
-        *(F.col(f"`{c}`") for c in df.columns),
-        F.coalesce(group.cast("bigint"), low).alias(k1),
-        F.coalesce(row_id.cast("bigint"), low).alias(k2),
-        F.coalesce(size.cast("bigint"), F.lit(0)).alias(size_name),
-    )
-    keys = saved(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(size_name).alias("size")), "shard-keys")
-    ranges = shards * RANGES_PER_SHARD
-    splitters = _splitters(keys, ranges)
-    # One row per range: at most `ranges` rows come back.
-    facts = (
-        keys.groupBy(_range_of(F.col("k1"), F.col("k2"), splitters).alias("r"))
-        .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        .orderBy("r")
-        .collect()
+    keyed = saved(
+        df.select(
+            *(F.col(f"`{c}`") for c in df.columns),
+            F.coalesce(group.cast("bigint"), low).alias(k1),
+            F.coalesce(row_id.cast("bigint"), low).alias(k2),
+            F.monotonically_increasing_id().alias(k3),
+            F.coalesce(size.cast("bigint"), F.lit(0)).alias(size_name),
+        ),
+        "shard-rows",
     )
-    total = sum(r["bytes"] for r in facts) or 1
+    names = ((k1, "k1"), (k2, "k2"), (k3, "k3"), (size_name, "size"))
+    keys = keyed.select(*(F.col(c).alias(n) for c, n in names))
+    splitters, facts = _ranges(keys, shards * RANGES_PER_SHARD)
+    total = sum(size for size, _ in facts.values()) or 1
     shard_of, base, filled, done = {}, {}, [0] * shards, 0
-    for r in facts:
-        shard = min(shards - 1, (2 * done + r["bytes"]) * shards // (2 * total))
-        shard_of[r["r"]], base[r["r"]] = shard, filled[shard]
-        filled[shard] += r["rows"]
-        done += r["bytes"]
+    for r in sorted(facts):
+        bytes_, rows = facts[r]
+        shard = min(shards - 1, (2 * done + bytes_) * shards // (2 * total))
+        shard_of[r], base[r] = shard, filled[shard]
+        filled[shard] += rows
+        done += bytes_
     known = json.dumps([{"s": shard_of.get(i, 0), "b": base.get(i, 0)} for i in range(len(splitters) + 1)])
     table = F.from_json(F.lit(known), "array<struct<s:int,b:bigint>>")
-    ranged = keyed.withColumn(place, _range_of(F.col(k1), F.col(k2), splitters))
-    in_range = Window.partitionBy(place).orderBy(k1, k2, size_name)
+    ranged = keyed.withColumn(place, _range_of([F.col(k1), F.col(k2), F.col(k3)], splitters))
+    in_range = Window.partitionBy(place).orderBy(k1, k2, k3)
     own = F.get(table, F.col(place))
     numbered = ranged.withColumn(fresh(ranged, "no")[0], F.row_number().over(in_range) - 1)
     out = replace(numbered, {"shard": own["s"], "slot": own["b"] + F.col(numbered.columns[-1])})
-    return out.drop(k1, k2, size_name, place, numbered.columns[-1])
+    return out.drop(k1, k2, k3, size_name, place, numbered.columns[-1])
 
 
 def document_shards(documents: DataFrame, shards: int = 24) -> DataFrame:
