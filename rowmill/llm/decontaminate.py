@@ -20,7 +20,7 @@ WINDOW_WORDS = 10
 # depends on the window alone: equal windows keep equal fingerprints, so every shared window is found.
 GRAM_WORDS = 5
 
-_CANDIDATE = "struct<mark:bigint,at:int,context_at:int,context:string>"
+_CANDIDATE = "struct<mark:bigint,whole:bigint,start:int,n:int,words:string>"
 
 
 def _winnowed(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,70 +42,71 @@ def _short(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
-    """``item, n, mark, place, words``: each window of each item, with its fingerprint."""
+    """``item, n, mark, whole, words``: each window of each item, with its fingerprint and the hash of all its words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(1), LETTERS_AND_DIGITS):
                 hashes, bounds = w.hashes(), w.bounds
-                best, place = _winnowed(hashes, window, gram)
-                item, n, mark, at, text = [], [], [], [], []
+                best, _ = _winnowed(hashes, window, gram)
+                full = grams(hashes, window)
+                item, n, mark, whole, text = [], [], [], [], []
                 for r in range(w.rows):
                     first, last = int(bounds[r]), int(bounds[r + 1])
                     size = min(window, last - first)
                     if not size:
                         continue
-                    whole = _short(hashes[first:last], size) if size < window else None
+                    short = _short(hashes[first:last], size) if size < window else None
                     for i in range(first, last - size + 1):
                         item.append(w.row + r)
                         n.append(size)
-                        mark.append(int((best[i] if whole is None else whole[0]).view(np.int64)))
-                        at.append(int(place[i]) if whole is None else 0)
+                        mark.append(int((best[i] if short is None else short[0]).view(np.int64)))
+                        whole.append(int((full[i] if short is None else short[0]).view(np.int64)))
                         text.append(w.text(i, i + size))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(item, pa.int64())), pa.array(n, pa.int32()), pa.array(mark, pa.int64()),
-                     pa.array(at, pa.int32()), pa.array(text, pa.string())],
-                    names=["item", "n", "mark", "place", "words"],
+                     pa.array(whole, pa.int64()), pa.array(text, pa.string())],
+                    names=["item", "n", "mark", "whole", "words"],
                 )
 
     own = T.StructType([T.StructField("item", items.schema[0].dataType)])
-    return items.mapInArrow(rows, T.StructType([*own, *T.StructType.fromDDL("n int, mark bigint, place int, words string")]))
+    return items.mapInArrow(rows, T.StructType([*own, *T.StructType.fromDDL("n int, mark bigint, whole bigint, words string")]))
 
 
-def _candidates(w: Words, window: int, gram: int, lengths: list[int], may: KeyFilter) -> list[list[dict]]:
-    """Of each row, the fingerprints that an item may have, with the words around them."""
+def _candidates(w: Words, window: int, gram: int, lengths: list[int], may: KeyFilter, may_whole: KeyFilter) -> list[list[dict]]:
+    """Of each row, the windows whose fingerprint, extended to the whole window, an item may have."""
     hashes, of, bounds = w.hashes(), w.of, w.bounds
     out: list[list[dict]] = [[] for _ in range(w.rows)]
 
-    def add(at: int, mark: np.uint64, first: int, last: int) -> None:
+    def add(at: int, n: int, mark: np.uint64, whole: np.uint64) -> None:
         row = int(of[at])
-        first, last = max(first, int(bounds[row])), min(last, int(bounds[row + 1]))
-        begin = int(bounds[row])
-        out[row].append({"mark": int(mark.view(np.int64)), "at": at - begin, "context_at": first - begin, "context": w.text(first, last)})
-
-    best, place = _winnowed(hashes, window, gram)
-    found = np.flatnonzero(inside(of, window) & may(best)) if len(best) else np.empty(0, np.int64)
-    spots, which = np.unique(found + place[found], return_index=True)
-    for at, i in zip(spots.tolist(), found[which].tolist(), strict=True):
-        add(at, best[i], at - (window - gram), at + window)
+        out[row].append({
+            "mark": int(mark.view(np.int64)), "whole": int(whole.view(np.int64)), "start": at - int(bounds[row]), "n": n, "words": w.text(at, at + n),
+        })
+
+    best, _ = _winnowed(hashes, window, gram)
+    if len(best):
+        full = grams(hashes, window)
+        for at in np.flatnonzero(inside(of, window) & may(best) & may_whole(full)).tolist():
+            add(at, window, best[at], full[at])
     for n in lengths:
         marks = _short(hashes, n)
         for at in np.flatnonzero(inside(of, n) & may(marks)).tolist():
-            add(at, marks[at], at, at + n)
+            add(at, n, marks[at], marks[at])
     return out
 
 
-def _marked(docs: DataFrame, window: int, gram: int, lengths: list[int], may: KeyFilter) -> DataFrame:
+def _marked(docs: DataFrame, window: int, gram: int, lengths: list[int], filters: tuple[KeyFilter, KeyFilter]) -> DataFrame:
     """``row, id, text_key, n_words, candidates`` of every document; ``row`` is different for each."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(may)
-    kind = pa.list_(pa.struct([("mark", pa.int64()), ("at", pa.int32()), ("context_at", pa.int32()), ("context", pa.string())]))
+    sent = spark.sparkContext.broadcast(filters)
+    kind = pa.list_(pa.struct([("mark", pa.int64()), ("whole", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.string())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId() << 40
         for batch in batches:
             for w in words(batch.column(2), LETTERS_AND_DIGITS):
-                found = _candidates(w, window, gram, lengths, sent.value)
+                found = _candidates(w, window, gram, lengths, *sent.value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(no, no + w.rows), pa.int64()), batch.column(0).slice(w.row, w.rows),
                      batch.column(1).slice(w.row, w.rows), pa.array(np.diff(w.bounds), pa.int64()), pa.array(found, kind)],
@@ -150,30 +151,26 @@ def leaks(
     by which rows can be found again.
 
     Winnowing keeps the smallest fingerprint of ``gram`` words of each window, so documents and items that share
-    a window share one of its fingerprints. Those that pass a bit filter of the items' fingerprints (of bounded
-    size) are joined, with the words around them, to the windows of the items and compared word by word: hits are
-    exact. Documents without such a fingerprint never leave their task.
+    a window share its fingerprint. Windows of documents whose fingerprint passes a bit filter of the items' ones, and
+    whose extension to all words passes another (both of bounded size), are joined to the items' windows on both and
+    compared word by word: hits are exact. A fingerprint that many items and documents share without sharing a
+    window so makes no pairs. Documents without a candidate never leave their task.
 
     NULL texts have no words. NULL item ids count for hits and are not listed. Repeated rows and ids get a
     row each. Empty tables: no rows, or no hits.
     """
     spark = ready(docs.sparkSession)
     windows = saved(_item_windows(items.select(item_column, item_text_column), window, gram), "item-windows")
-    marks = windows.select("mark", "n").distinct()
+    marks = windows.select("mark", "whole", "n").distinct()
     lengths = [r["n"] for r in marks.where(F.col("n") < window).select("n").distinct().collect()]
-    may = KeyFilter.of(marks, "mark", marks.count())
+    known = marks.count()
+    filters = KeyFilter.of(marks, "mark", known), KeyFilter.of(marks, "whole", known)
     picked = docs.select(F.col(f"`{id_column}`"), F.xxhash64(f"`{text_column}`"), F.col(f"`{text_column}`"))
-    marked = saved(_marked(picked, window, gram, sorted(lengths), may), "marked-documents")
+    marked = saved(_marked(picked, window, gram, sorted(lengths), filters), "marked-documents")
     spots = marked.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    start = F.col("at") - F.col("place")
-    here = F.slice(F.split("context", " "), start - F.col("context_at") + 1, F.col("n"))
-    distinct = windows.select("mark", "n", "place", "words").distinct()
-    hits = (
-        spots.join(distinct, "mark")
-        .where(start >= F.col("context_at"))
-        .where(F.array_join(here, " ") == F.col("words"))
-        .select("row", start.alias("start"), "n", "words")
-    )
+    distinct = windows.select("mark", "whole", "n", "words").distinct()
+    # Equal words have equal keys; unequal ones with equal keys are told apart by the words.
+    hits = spots.join(distinct, ["mark", "whole", "n", "words"]).select("row", "start", "n", "words")
     owned = hits.join(windows.select("words", "item").distinct(), "words")
     per_row = owned.groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"),
