@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from rowmill.llm.table import fresh, lowered, replace
 
-# Characters before a span in which context words count.
+# Characters before and after a span in which context words count, and what they add to its score.
 CONTEXT_CHARS = 48
+CONTEXT_SCORE = 0.2
 # A proposed span of the added kinds is kept from this score on; base kinds are always kept.
 KEEP_SCORE = 0.6
 
@@ -73,6 +74,11 @@ def _valid_account(text: Column) -> Column:
     return F.length(plain).between(15, 34) & mod97(plain)
 
 
+def _valid_ssn(text: Column) -> Column:
+    area, group, serial = F.substring(text, 1, 3), F.substring(text, 5, 2), F.substring(text, 8, 4)
+    return ~area.isin("000", "666") & (F.substring(text, 1, 1) != "9") & (group != "00") & (serial != "0000")
+
+
 KINDS = (
     Kind(
         "email",
@@ -92,6 +98,10 @@ KINDS = (
         "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", _valid_account, None,
         ("iban", "account", "bank", "konto", "compte"), 0.7, base=False,
     ),
+    # Figures like these are order numbers as often as not: without their words they stay below the bar.
+    Kind(
+        "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", _valid_ssn, "-", ("ssn", "social", "security number", "insured"), 0.45, base=False,
+    ),
 )
 
 
@@ -120,9 +130,9 @@ def find(df: DataFrame, text_column: str = "text", kinds: tuple[Kind, ...] = KIN
 
     Each kind's matches are leftmost and do not overlap; a match that fails its check is dropped and not
     searched again. Kinds are independent: a card inside a phone number is reported under both. The score
-    is the kind's own, plus 0.2 when one of its words stands within the ``CONTEXT_CHARS`` characters before
-    the span, at most 1; kinds that are not base kinds are kept from ``KEEP_SCORE`` on. NULL and empty
-    texts have an empty array. A column called ``pii`` is replaced; any other column is kept.
+    is the kind's own, plus ``CONTEXT_SCORE`` when one of its words starts within the ``CONTEXT_CHARS`` characters
+    before or after the span, at most 1; kinds that are not base kinds are kept from ``KEEP_SCORE`` on, so that a kind whose
+    own score is below needs its context. NULL and empty texts have an empty array. A column called ``pii`` is replaced; any other column is kept.
     """
     raw, = fresh(df, "pii_text")
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
@@ -139,9 +149,11 @@ def find(df: DataFrame, text_column: str = "text", kinds: tuple[Kind, ...] = KIN
     def scored(kind: Kind, name: str) -> Column:
         def score(s: Column) -> Column:
             start = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
+            words = "(?<![a-z])(?:" + "|".join(kind.words) + ")"
             before = lowered(F.substring(F.col(raw), start + 1, s["start"] - start))
-            near = before.rlike("(?<![a-z])(?:" + "|".join(kind.words) + ")")
-            value = F.least(F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0), F.lit(1.0))
+            after = lowered(F.substring(F.col(raw), s["end"] + 1, F.lit(CONTEXT_CHARS)))
+            near = before.rlike(words) | after.rlike(words)
+            value = F.least(F.lit(kind.score) + F.when(near, CONTEXT_SCORE).otherwise(0.0), F.lit(1.0))
             return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), value.alias("score"))
 
         all_spans = F.transform(F.col(name), score)

@@ -22,21 +22,28 @@ _PII_KINDS = (
         "lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)), "
         "lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1",
     ),
+    (
+        6, "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "m[1:3] NOT IN ('000', '666') AND m[1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000'",
+    ),
 )
 
 _PII_WORDS = {
     "email": ("mail|contact|write|reach", 0.7), "ip": ("ip|server|host|address", 0.5),
     "card": ("card|visa|credit|payment", 0.8), "phone": ("tel|phone|call|fax|mobile", 0.6),
-    "iban": ("iban|account|bank|konto|compte", 0.7),
+    "iban": ("iban|account|bank|konto|compte", 0.7), "ssn": ("ssn|social|security number|insured", 0.45),
 }
 
 
 def _pii_kind(order: int, name: str, pattern: str, valid: str) -> str:
     words, score = _PII_WORDS[name]
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    near = " OR ".join(
+        f"regexp_matches({fold.format(part)}, '(?:^|[^a-z])(?:{words})')" for part in ("t[greatest(s - 48, 0) + 1:s]", "t[s + len(m) + 1:s + len(m) + 48]")
+    )
     return f"""
     SELECT doc_id, {order} AS k, '{name}' AS kind, s AS start_at, s + len(m) AS end_at,
-        least(1.0, {score} + CASE WHEN regexp_matches(translate(t[greatest(s - 48, 0) + 1:s],
-            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:^|[^a-z])(?:{words})') THEN 0.2 ELSE 0 END)::DOUBLE AS score
+        least(1.0, {score} + CASE WHEN {near} THEN 0.2 ELSE 0 END)::DOUBLE AS score
     FROM (
         SELECT *, sum(len(g) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) - len(m) AS s,
             regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS plain
@@ -49,7 +56,8 @@ def _pii_kind(order: int, name: str, pattern: str, valid: str) -> str:
 
 PII = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS ({" UNION ALL ".join(_pii_kind(*k) for k in _PII_KINDS)}),
+proposed AS ({" UNION ALL ".join(_pii_kind(*k) for k in _PII_KINDS)}),
+spans AS (SELECT * FROM proposed WHERE k < 5 OR score >= 0.6),
 per_doc AS (
     SELECT doc_id,
         count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip,
