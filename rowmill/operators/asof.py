@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rowmill.session import materialize
+
 
 def asof_join(
     left: DataFrame,
@@ -16,40 +18,38 @@ def asof_join(
     left_at: str,
     right_at: str,
     values: Sequence[str],
-    bucket: str = "month",
+    bucket: str | None = None,
 ) -> DataFrame:
     """``left`` plus ``values`` of the latest ``right`` row per ``by`` with ``right_at <= left_at``.
 
     Rows of ``left`` without an earlier match keep NULL. ``by`` columns share their names.
 
-    The answer depends only on (by, time), so the distinct probes of ``left`` are merged with
-    ``right``; repetition collapses on the map side and a key with a third of the rows costs no more
-    than its distinct times. Merging runs per (by, ``bucket`` of time): the last value before each
-    bucket is carried in from a small per-bucket summary, so no task sorts a key's whole history. The
-    answers then go back to ``left`` by equality.
+    The answer depends only on (by, time), so the distinct probes of ``left`` are merged with ``right``; repetition
+    collapses on the map side and a key with a third of the rows costs no more than its distinct times. The merged
+    rows are range partitioned by (by, time), so a key spreads over as many tasks as its times need, however fine they
+    are. A summary with a row per key and task tells the last value before each task, which is carried in; no task
+    sorts a key's whole history. The answers then go back to ``left`` by equality. ``bucket`` named the time slots of
+    an earlier split and has no effect any more.
     """
-    at = "_at"
+    at, part, side = "_at", "_part", "_side"
     probes = left.select(*by, F.col(left_at).cast("timestamp").alias(at)).filter(F.col(at).isNotNull()).distinct()
     value = F.struct(*[F.col(v) for v in values])
     quotes = right.select(*by, F.col(right_at).cast("timestamp").alias(at), value.alias("_v")).filter(
         F.col(at).isNotNull()
     )
     empty = F.lit(None).cast(quotes.schema["_v"].dataType)
-    slot = F.date_trunc(bucket, F.col(at)).alias("_slot")
     # Side 0 sorts reference rows before probes of the same instant.
-    merged = quotes.select(*by, slot, at, F.lit(0).alias("_side"), "_v").unionByName(
-        probes.select(*by, slot, at, F.lit(1).alias("_side"), empty.alias("_v"))
-    )
-    # One row per (by, slot): its last reference row; the window then carries it to later slots.
-    held = quotes.groupBy(*by, slot).agg(F.max_by("_v", at).alias("_last"))
-    asked = probes.select(*by, slot).distinct()
-    last = asked.join(held, [*by, "_slot"], "full_outer")
-    before = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    carried = last.select(*by, "_slot", F.last("_last", ignorenulls=True).over(before).alias("_v"))
-    carried = carried.filter(F.col("_v").isNotNull())
-    merged = merged.unionByName(carried.select(*by, "_slot", F.col("_slot").alias(at), F.lit(-1).alias("_side"), "_v"))
-    upto = W.partitionBy(*by, "_slot").orderBy(at, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    answered = merged.withColumn("_r", F.last("_v", ignorenulls=True).over(upto)).filter("_side = 1")
+    merged = quotes.select(*by, at, F.lit(0).alias(side), "_v").unionByName(probes.select(*by, at, F.lit(1).alias(side), empty.alias("_v")))
+    # Written once, so that a lost executor cannot deal the rows anew.
+    dealt = materialize(merged.repartitionByRange(*by, at, side).withColumn(part, F.spark_partition_id()), "asof")
+    newest = F.max_by("_v", F.when(F.col(side) == 0, F.col(at))).alias("_last")
+    held = dealt.groupBy(*by, part).agg(newest)
+    before = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    carried = held.select(*by, part, F.last("_last", ignorenulls=True).over(before).alias("_v")).filter(F.col("_v").isNotNull())
+    rows = dealt.unionByName(carried.select(*by, F.lit(None).cast("timestamp").alias(at), F.lit(-1).alias(side), "_v", part))
+    # What is carried in comes first; a group is a key's rows in one task's range.
+    upto = W.partitionBy(*by, part).orderBy(F.col(at).asc_nulls_first(), side).rowsBetween(W.unboundedPreceding, W.currentRow)
+    answered = rows.withColumn("_r", F.last("_v", ignorenulls=True).over(upto)).filter(F.col(side) == 1)
     answers = answered.select(
         *[F.col(b).alias(f"_b_{b}") for b in by], F.col(at).alias("_b_at"), *[F.col("_r")[v].alias(v) for v in values]
     )

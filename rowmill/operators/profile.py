@@ -264,26 +264,35 @@ def profile_json(profile: DataFrame) -> DataFrame:
     return profile.select(F.to_json(F.struct(*profile.columns)).alias("profile"))
 
 
-def profile_summary(profiles: DataFrame, document: str = "document") -> DataFrame:
-    """Readable size of each document: one line for one region, a list for several."""
+# Fixed value: what is said of a document without regions.
+NO_REGIONS = "No regions detected."
+
+
+def profile_summary(
+    profiles: DataFrame, document: str = "document", documents: DataFrame | None = None, place: str | None = None
+) -> DataFrame:
+    """Readable size of each document: one line for one region, a list for several, a sentence for none.
+
+    ``documents`` names all documents, since one without regions has no profile rows. Regions are listed by the column
+    ``place`` (their position in the document), or by name.
+    """
     regions = profiles.groupBy(document, "region").agg(
-        F.max("row_count").alias("rows"), F.count(F.lit(1)).alias("cols")
+        F.max("row_count").alias("rows"),
+        F.count(F.lit(1)).alias("cols"),
+        (F.min(place) if place else F.lit(0)).alias("place"),
     )
     size = F.concat(F.col("rows").cast("string"), F.lit(" rows · "), F.col("cols").cast("string"), F.lit(" columns"))
     line = F.concat(F.lit("  - `"), F.col("region"), F.lit("`: "), size)
-    return (
-        regions.groupBy(document)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(size).alias("single"),
-            F.concat_ws("\n", F.sort_array(F.collect_list(line))).alias("lines"),
-        )
-        .select(
-            document,
-            F.when(F.col("n") == 1, F.col("single"))
-            .otherwise(F.concat(F.col("n").cast("string"), F.lit(" regions\n"), F.col("lines")))
-            .alias("summary"),
-        )
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", "region", line.alias("line")))), lambda r: r["line"])
+    found = regions.groupBy(document).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("single"), F.concat_ws("\n", lines).alias("lines"))
+    if documents is not None:
+        found = documents.select(document).distinct().join(found, document, "left")
+    return found.select(
+        document,
+        F.when(F.col("n").isNull(), NO_REGIONS)
+        .when(F.col("n") == 1, F.col("single"))
+        .otherwise(F.concat(F.col("n").cast("string"), F.lit(" regions\n"), F.col("lines")))
+        .alias("summary"),
     )
 
 

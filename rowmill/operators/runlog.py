@@ -208,6 +208,22 @@ def without_project(df: DataFrame, gone: DataFrame) -> DataFrame:
     return df.join(gone.select("project_id"), "project_id", "left_anti")
 
 
+def delete_projects(
+    projects: DataFrame, runs: DataFrame, of_project: dict[str, DataFrame], of_run: dict[str, DataFrame], gone: DataFrame
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All that is left after deleting projects, and the snapshots to drop.
+
+    ``gone`` has ``project_id``. ``of_project`` and ``of_run`` are the tables that hang on projects and on runs; the rows of
+    the deleted ones go with them. The second frame, ``project_id, run_id, snapshot``, names what runs of these projects
+    had stored.
+    """
+    ended = runs.join(gone.select("project_id").distinct(), "project_id", "left_semi")
+    left = {"projects": without_project(projects, gone), "runs": without_project(runs, gone)}
+    left |= {name: without_project(df, gone) for name, df in of_project.items()}
+    left |= {name: df.join(ended.select("run_id"), "run_id", "left_anti") for name, df in of_run.items()}
+    return left, ended.where("snapshot IS NOT NULL").select("project_id", "run_id", "snapshot")
+
+
 # -- steps ---------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from rowmill.plans import (  # noqa: F401
     browsing,
+    checking,
     cleaning,
     discovering,
     evidencing,

@@ -112,3 +112,21 @@ def test_base_currency_needs_no_rate(spark):
     rates = spark.createDataFrame([("EUR", 1.5)], "currency string, rate double").selectExpr("currency", "date'2024-01-01' AS day", "rate")
     got = {r["i"]: r["usd"] for r in convert_currency(df, rates, "a", "c", "d", "usd").collect()}
     assert got == {1: 10.0, 2: 15.0, 3: None}
+
+
+def test_asof_with_fine_times_of_one_hot_key(spark):
+    """Times in microseconds, nearly all of one key: no task holds the key's whole history."""
+    rng = random.Random(5)
+    marks = sorted(rng.sample(range(10**9), 3000))
+    asked = [rng.randrange(10**9) for _ in range(3000)] + marks[:50]
+    keys = ["hot"] * 2900 + ["x"] * 100
+    stamp = "timestamp_micros(at) AS at"
+    left = spark.createDataFrame([(i, "hot" if i % 20 else "x", t) for i, t in enumerate(asked)], "i int, k string, at bigint").selectExpr("i", "k", stamp)
+    right = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(zip(keys, marks, strict=True))], "k string, at bigint, v int").selectExpr("k", "timestamp_micros(at) AS since", "v")
+    got = {r["i"]: r["v"] for r in asof_join(left, right, ["k"], "at", "since", ["v"]).collect()}
+
+    def latest(k, t):
+        held = [(m, n) for n, (kk, m) in enumerate(zip(keys, marks, strict=True)) if kk == k and m <= t]
+        return max(held)[1] if held else None
+
+    assert got == {i: latest("hot" if i % 20 else "x", t) for i, t in enumerate(asked)}
