@@ -1,13 +1,18 @@
-"""Removal of repeated passages by overlapping windows of lines."""
+"""Removal of repeated passages by overlapping windows of lines, or of sentences."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.table import fresh
+from rowmill.llm.attach import FREQUENT, attach
+from rowmill.llm.table import fresh, saved
 
 WINDOW_LINES = 3
+# Words of a passage of sentences at least.
+PASSAGE_WORDS = 50
+# A piece starts after the end of a sentence or line, where the next word starts: so each but the first has a word.
+_PIECE = r"(?<=[.!?]\s)(?=\S)|(?<=\n)(?=\S)"
 
 
 def _line_keys(lines: Column) -> Column:
@@ -33,9 +38,7 @@ def _windows(keys: Column, width: int) -> Column:
 def later_positions(df: DataFrame, id_column: str, text_column: str, width: int = WINDOW_LINES) -> DataFrame:
     """``id, pos`` (array of window starts) of the windows that occurred before, per document that has any.
 
-    Order is (id, position). The first occurrence of each window is a minimum that is combined on the
-    map side, so that a window held by a third of all documents sends one row per task; only windows
-    that repeat are then looked up.
+    Order is (id, position). See :func:`_later` for windows that many documents share.
     """
     lines = F.split(F.col(f"`{text_column}`"), "\n", -1)
     spots = (
@@ -44,14 +47,20 @@ def later_positions(df: DataFrame, id_column: str, text_column: str, width: int
         .select("id", F.explode(_windows(F.col("keys"), width)).alias("w"))
         .select("id", "w.pos", "w.a", "w.b")
     )
-    firsts = (
-        spots.groupBy("a", "b")
-        .agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("a", "b", "first")
-    )
-    later = spots.join(firsts, ["a", "b"]).where(F.struct("id", "pos") > F.col("first"))
-    return later.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+    return _later(spots).groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+
+
+def _later(spots: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """The rows of ``id, pos, a, b`` (and more) whose window ``a, b`` occurred before.
+
+    The first occurrence of each window is a minimum that is combined on the map side, so that a window held by a third
+    of all documents sends one row per task. Only the firsts of windows that repeat are then looked up, those of
+    the most frequent ones in every task, so that no task gets all rows of a window.
+    """
+    firsts = spots.groupBy("a", "b").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = saved(firsts.select(F.struct("a", "b").alias("window"), "first", "n"), "first-windows")
+    met = attach(spots.withColumn("window", F.struct("a", "b")), "window", known, ["first"], frequent=frequent)
+    return met.where(F.struct("id", "pos") > F.col("first")).drop("window", "first")
 
 
 def drop_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WINDOW_LINES) -> DataFrame:
@@ -91,3 +100,75 @@ def drop_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     left = F.aggregate(gaps, F.lit(0), lambda total, g: total + g["n"])
     removed = F.when(hit, F.size(lines) - left).otherwise(0).cast("bigint")
     return split.select(*out, removed.alias("lines_removed"))
+
+
+def _pieces(text: Column) -> Column:
+    """A text cut behind sentences and lines; the pieces put together are the text."""
+    return F.split(text, _PIECE, -1)
+
+
+def _passages(pieces: Column, words: int) -> Column:
+    """``pos, size, a, b`` of the shortest run of pieces from each piece on that has ``words`` words; none where too few follow.
+
+    Every piece but the first has a word, so ``words + 1`` pieces are always enough to look at.
+    """
+    counts = F.transform(pieces, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
+    keys = _line_keys(F.transform(pieces, lambda x: F.rtrim(F.translate(x, "\n", " "))))
+
+    def run(i: Column) -> Column:
+        def add(acc: Column, n: Column) -> Column:
+            open_ = acc["sum"] < words
+            return F.struct(
+                F.when(open_, acc["sum"] + n).otherwise(acc["sum"]).alias("sum"), F.when(open_, acc["size"] + 1).otherwise(acc["size"]).alias("size")
+            )
+
+        start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("size"))
+        return F.aggregate(F.slice(counts, i + 1, F.lit(words + 1)), start, add, lambda acc: F.when(acc["sum"] >= words, acc["size"]))
+
+    def passage(i: Column) -> Column:
+        size = run(i)
+        part = F.slice(keys, i + 1, size)
+        return F.struct(
+            i.cast("int").alias("pos"), size.cast("int").alias("size"),
+            F.xxhash64(F.lit(5), part["a"]).alias("a"), F.xxhash64(F.lit(6), part["b"]).alias("b"),
+        )
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), passage), lambda p: p["size"].isNotNull())
+
+
+def drop_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = PASSAGE_WORDS, frequent: int = FREQUENT) -> DataFrame:
+    """Every row, with repeated runs of sentences of ``words`` words or more removed and ``pieces_removed`` added.
+
+    Texts are cut behind ``.``, ``!`` or ``?`` with a blank, and behind line ends. From each piece on, the shortest run of
+    pieces with ``words`` words is a window; trailing blanks do not tell windows apart. As in :func:`drop_repeats`, all
+    windows after the first, in order of (id, position), are covered over the whole table, however lines lie, and
+    covered pieces go. So every repeated passage of that many words that starts with a sentence or line is cut, up to
+    its last whole window. NULL and empty texts and rows with a NULL id stay as they are; rows that repeat an id are
+    one document to the order. A column called ``pieces_removed`` is replaced; any other column is kept.
+    """
+    at, pieces = fresh(df, "covered", "pieces")
+    text = F.col(f"`{text_column}`")
+    spots = (
+        df.where(F.col(f"`{id_column}`").isNotNull() & (text != ""))
+        .select(F.col(f"`{id_column}`").alias("id"), _pieces(text).alias("pieces"))
+        .select("id", F.explode(_passages(F.col("pieces"), words)).alias("w"))
+        .select("id", "w.pos", "w.size", "w.a", "w.b")
+    )
+    covers = _later(spots, frequent).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("pos", "size"))).alias(at))
+    joined = df.join(covers.withColumnRenamed("id", f"{at}_id"), F.col(f"`{id_column}`") == F.col(f"{at}_id"), "left")
+    split = joined.withColumn(pieces, F.when(F.col(at).isNotNull(), _pieces(text)))
+    # Windows that start later end later or at the same place, so what lies between neighbours is uncovered.
+    ends = F.transform(at, lambda w: w["pos"] + w["size"])
+    gaps = F.zip_with(
+        F.concat(F.array(F.lit(0)), ends),
+        F.concat(F.transform(at, lambda w: w["pos"]), F.array(F.size(pieces))),
+        lambda start, stop: F.struct(start.alias("start"), F.greatest(stop - start, F.lit(0)).alias("n")),
+    )
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col(pieces), g["start"] + 1, g["n"])))
+    hit = F.col(at).isNotNull()
+    out = [
+        F.when(hit, F.array_join(kept, "")).otherwise(text).alias(c) if c == text_column else F.col(f"`{c}`")
+        for c in df.columns if c.lower() != "pieces_removed"
+    ]
+    left = F.aggregate(gaps, F.lit(0), lambda total, g: total + g["n"])
+    return split.select(*out, F.when(hit, F.size(pieces) - left).otherwise(0).cast("bigint").alias("pieces_removed"))

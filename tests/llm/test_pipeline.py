@@ -29,7 +29,7 @@ def test_query_equals_its_twin(llm, name):
 
 def test_registered():
     found = entry_points.queries()
-    assert "pipeline" in found and len([n for n in found if n.startswith("op")]) == 10
+    assert "pipeline" in found and len([n for n in found if n.startswith("op")]) == 13
 
 
 def test_stages_keep_columns_and_nest(llm):
@@ -59,13 +59,16 @@ def test_run_equals_its_stages_by_brute_force(llm):
     from rowmill.llm import quality, sentencepiece
 
     from .test_filters import deduplicated, hits
+    from .test_passages import without_passages
     from .test_models import groups
 
     docs = llm.read.parquet(f"{FOLDER}/documents.parquet")
     labels = llm.read.parquet(f"{FOLDER}/labels.parquet")
     model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
     rows = [(r["doc_id"], r["text"]) for r in quality.score(docs, model).where("score >= 0.5").collect()]
-    rows = [(i, t) for i, t, removed in deduplicated(rows) if not removed or t]
+    rows = [(i, t, removed) for i, t, removed in deduplicated(rows)]
+    again = {i: (t, removed) for i, t, removed in without_passages([(i, t) for i, t, _ in rows])}
+    rows = [(i, again[i][0]) for i, t, removed in rows if not (removed or again[i][1]) or (again[i][0] or "").strip(" ")]
     kept = {i for i, _, _, keep in groups(rows) if keep}
     items = [(r["item_id"], r["text"]) for r in llm.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     want = {i: t for i, t in rows if i in kept and not hits(t, items)[-1]}
