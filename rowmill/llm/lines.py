@@ -107,13 +107,16 @@ def _pieces(text: Column) -> Column:
     return F.split(text, _PIECE, -1)
 
 
-def _passages(pieces: Column, words: int) -> Column:
+def _word_count(piece: Column) -> Column:
+    return F.size(F.filter(F.split(piece, r"\s+"), lambda w: w != ""))
+
+
+def _passages(counts: Column, keys: Column, words: int) -> Column:
     """``pos, size, a, b`` of the shortest run of pieces from each piece on that has ``words`` words; none where too few follow.
 
-    Every piece but the first has a word, so ``words + 1`` pieces are always enough to look at.
+    ``counts`` are the words of the pieces, ``keys`` their hashes; both must be stored columns, as they are looked at
+    for each piece. Every piece but the first has a word, so ``words + 1`` pieces are always enough to look at.
     """
-    counts = F.transform(pieces, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
-    keys = _line_keys(F.transform(pieces, lambda x: F.rtrim(F.translate(x, "\n", " "))))
 
     def run(i: Column) -> Column:
         def add(acc: Column, n: Column) -> Column:
@@ -123,17 +126,15 @@ def _passages(pieces: Column, words: int) -> Column:
             )
 
         start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("size"))
-        return F.aggregate(F.slice(counts, i + 1, F.lit(words + 1)), start, add, lambda acc: F.when(acc["sum"] >= words, acc["size"]))
+        size = F.aggregate(F.slice(counts, i + 1, F.lit(words + 1)), start, add, lambda acc: F.when(acc["sum"] >= words, acc["size"]))
+        return F.struct(i.cast("int").alias("pos"), size.cast("int").alias("size"))
 
-    def passage(i: Column) -> Column:
-        size = run(i)
-        part = F.slice(keys, i + 1, size)
-        return F.struct(
-            i.cast("int").alias("pos"), size.cast("int").alias("size"),
-            F.xxhash64(F.lit(5), part["a"]).alias("a"), F.xxhash64(F.lit(6), part["b"]).alias("b"),
-        )
+    def passage(p: Column) -> Column:
+        part = F.slice(keys, p["pos"] + 1, p["size"])
+        return F.struct(p["pos"], p["size"], F.xxhash64(F.lit(5), part["a"]).alias("a"), F.xxhash64(F.lit(6), part["b"]).alias("b"))
 
-    return F.filter(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), passage), lambda p: p["size"].isNotNull())
+    runs = F.transform(F.sequence(F.lit(0), F.size(keys) - 1), run)
+    return F.transform(F.filter(runs, lambda p: p["size"].isNotNull()), passage)
 
 
 def drop_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = PASSAGE_WORDS, frequent: int = FREQUENT) -> DataFrame:
@@ -151,7 +152,11 @@ def drop_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     spots = (
         df.where(F.col(f"`{id_column}`").isNotNull() & (text != ""))
         .select(F.col(f"`{id_column}`").alias("id"), _pieces(text).alias("pieces"))
-        .select("id", F.explode(_passages(F.col("pieces"), words)).alias("w"))
+        .select(
+            "id", F.transform("pieces", _word_count).alias("counts"),
+            _line_keys(F.transform("pieces", lambda x: F.rtrim(F.translate(x, "\n", " ")))).alias("keys"),
+        )
+        .select("id", F.explode(_passages(F.col("counts"), F.col("keys"), words)).alias("w"))
         .select("id", "w.pos", "w.size", "w.a", "w.b")
     )
     covers = _later(spots, frequent).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("pos", "size"))).alias(at))
