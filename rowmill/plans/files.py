@@ -40,16 +40,20 @@ def tsv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return documents.read_document(spark, out)[0]["default"]
 
 
-@query("SELECT doc_id, md5(replace(text, chr(13), '')) AS digest, lang FROM documents")
+@query("""SELECT doc_id, md5(' "a", b' || chr(13) || chr(10) || 'c' || chr(13) || text || ' ') AS digest, lang, source, n_chars
+FROM documents""")
 def quoted_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole texts with commas, quotes and line breaks survive quoting."""
+    """Whole texts with commas, quotes, blanks at their ends and line breaks of all kinds survive quoting."""
     out = scratch_dir(spark, "documents") + ".csv"
-    writer = read_table(spark, folder, "documents", ["doc_id", "text", "lang"]).write.option("header", True)
+    text = F.concat(F.lit(' "a", b\r\nc\r'), "text", F.lit(" "))
+    docs = read_table(spark, folder, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+    writer = docs.withColumn("text", text).write.option("header", True)
     writer = writer.option("escape", '"').option("quoteAll", True)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
     back = delimited.read_csv(spark, out)
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))
-    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), "lang")
+    return back.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "lang", "source", F.col("n_chars").cast("int").alias("n_chars")
+    )
 
 
 def _ragged(spark: SparkSession, folder: str) -> str:
@@ -118,12 +122,13 @@ def json_regions(spark: SparkSession, folder: str) -> DataFrame:
     return a.unionByName(regions["segments"].select(F.lit("segments").alias("region"), "id", F.col("segment").alias("value")))
 
 
-@query("SELECT event_id, user_id, event_type, value, props FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props FROM events")
 def ndjson_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One object per line."""
+    """One object per line, every column; times come back as times, to the microsecond."""
     out = scratch_dir(spark, "events") + ".json"
-    read_table(spark, folder, "events", ["event_id", "user_id", "event_type", "value", "props"]).write.json(out)
-    return documents.read_document(spark, out)[0]["default"]
+    read_table(spark, folder, "events").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(out)
+    back = documents.read_document(spark, out)[0]["default"]
+    return back.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("SELECT event_id, '{\"kind\":\"' || event_type || '\",\"user\":' || user_id || '}' AS who FROM events")
@@ -216,9 +221,15 @@ def document_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"WITH {V.DIRTY_ORDERS} SELECT k, email, currency FROM dirty_orders")
+@query(f"""WITH {V.DIRTY_ORDERS} SELECT k, o_custkey, CAST(nullif(id_s, '') AS BIGINT) AS id_s, email, order_date_s, amount_s, currency,
+nullif(discount_s, '') AS discount_s, is_gift_s, nullif(notes, '') AS notes, qty_s,
+strftime(CAST(left(created_at_s, 19) AS TIMESTAMP)
+  - to_hours(CASE right(created_at_s, 6) WHEN '+01:00' THEN 1 WHEN '-07:00' THEN -7 WHEN '+09:00' THEN 9 ELSE 0 END),
+  '%Y-%m-%d %H:%M:%S') AS created_at_s, address_s, empty_col FROM dirty_orders""")
 def dirty_file(spark: SparkSession, folder: str) -> DataFrame:
-    """A messy export read back: text columns stay text, the key becomes a number."""
+    """A messy export read back, every column: numbers and times get types, mixed cells stay text as they were, empty ones are NULL."""
     out = scratch_dir(spark, "dirty") + ".csv"
-    V.dirty_orders(spark, folder).select("k", "email", "currency", "notes").write.option("header", True).csv(out)
-    return documents.read_document(spark, out)[0]["default"].select("k", "email", "currency")
+    writer = V.dirty_orders(spark, folder).write.option("header", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
+    back = documents.read_document(spark, out)[0]["default"]
+    return back.withColumn("created_at_s", F.date_format("created_at_s", "yyyy-MM-dd HH:mm:ss")).withColumn("id_s", F.col("id_s").cast("bigint"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.operators import clean, validate
-from rowmill.operators.versions import VersionStore
 from rowmill.options import ImportOptions
 from rowmill.plans import importer
 from rowmill.plans import views as V
@@ -83,22 +82,24 @@ def validation_summary(spark: SparkSession, folder: str) -> DataFrame:
 + (SELECT count(DISTINCT customer_id) FROM flat_sales) + (SELECT count(DISTINCT part_id) FROM flat_sales) AS BIGINT) AS rows_imported,
 'customers, orders, parts, sales' AS tables""")
 def import_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole flow: flat sales split, staged, validated with foreign keys, published as one version."""
-    store = VersionStore(spark, scratch_dir(spark, "import"))
-    tables, foreign = importer.split_flat(V.flat_file(spark, folder), "sales")
-    done = importer.run_import(store, {"sales": tables["sales"]}, lambda _: tables, foreign=foreign)
-    return done.select("rows_imported", F.concat_ws(", ", "tables").alias("tables"))
+    """The whole flow: flat sales typed, split, written, read back, checked, and placed beside the stored tables."""
+    staging, live = scratch_dir(spark, "import-staging"), scratch_dir(spark, "import-live")
+    done = importer.import_checked(spark, {"sales": V.flat_file(spark, folder)}, staging)
+    written = {r["table"]: spark.read.parquet(f"{staging}/{r['table']}") for r in done.select("table").collect()}  # a row per table
+    placed = importer.place_tables(spark, written, live)
+    return placed.agg(F.sum("row_count").alias("rows_imported"), F.array_join(F.sort_array(F.collect_list("target")), ", ").alias("tables"))
 
 
 @query("""SELECT c_custkey, c_name, c_mktsegment FROM customer
 UNION ALL SELECT s_suppkey + 1000000, s_name, NULL FROM supplier""")
 def append_compatible(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows added to a stored table as a new part; the stored files stay as they are."""
-    store = VersionStore(spark, scratch_dir(spark, "append"))
-    store.load({"customers": read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_mktsegment"])})
+    """Rows added to a stored table as further files; a column that they lack is NULL."""
+    live = scratch_dir(spark, "append")
+    importer.place_tables(spark, {"customers": read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_mktsegment"])}, live)
     s = read_table(spark, folder, "supplier")
-    store.append("customers", s.select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_name").alias("c_name")))
-    return store.read("customers")
+    more = s.select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_name").alias("c_name"))
+    importer.place_tables(spark, {"suppliers": more}, live)
+    return spark.read.parquet(f"{live}/customers")
 
 
 @query(f"""WITH {V.DIRTY_ORDERS} SELECT id_s, email, CASE WHEN upper(trim(notes)) IN ('N/A', 'NULL') THEN NULL

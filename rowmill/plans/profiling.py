@@ -121,10 +121,12 @@ def find_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return profile.find_duplicates(read_table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""SELECT quality, toxic, count(*) AS copies FROM labels GROUP BY ALL HAVING count(*) > 1""")
+@query("""WITH loads AS (FROM labels UNION ALL FROM labels WHERE quality = 1 UNION ALL FROM labels WHERE toxic = 1)
+SELECT doc_id, quality, toxic, count(*) AS copies FROM loads GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Duplicates by whole row."""
-    return profile.find_duplicates(read_table(spark, folder, "labels", ["quality", "toxic"]))
+    """Duplicates by whole row, of all labels with two later loads that repeat some of them."""
+    labels = read_table(spark, folder, "labels")
+    return profile.find_duplicates(labels.unionByName(labels.where("quality = 1")).unionByName(labels.where("toxic = 1")))
 
 
 _RE = {
