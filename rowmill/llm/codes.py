@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from rowmill.llm.table import ready, saved
 
-# Bits of a segment at most: a segment's values index one table.
-WIDEST_SEGMENT = 20
+# Bits of a segment at most: the masks of a radius are listed, a million of them where seven of 28 bits are set.
+WIDEST_SEGMENT = 28
 
 
 def _widths(bits: int, rows: int) -> list[int]:
     """Segments of such a width that a value has four to eight rows on average.
 
-    Wider ones make for fewer rows to compare, but the values to look up grow faster.
+    Wider ones make for fewer rows to compare, but the values to look up grow faster. The width follows the rows up to
+    10 ** 9 of them; beyond that, buckets grow and adaptive execution splits the join's largest.
     """
     ideal = min(WIDEST_SEGMENT, max(4, math.floor(math.log2(max(rows, 4) / 4))))
     m = max(1, math.ceil(bits / ideal))
@@ -65,11 +66,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_column: s
     only as many segments as their kth distance asks for. A code counts at the step that meets it first.
 
     Rows of equal codes are one entry with its ``k`` smallest ids (no other can be an answer), so copies do
-    not multiply. NULL ids, NULL vectors and vectors of another length are neither rows nor queries; a query
+    not multiply. A segment value of many codes is a hot key of a sort-merge join, whose partition adaptive execution
+    splits. Ids are of any type that has an order, and come back as they are. NULL ids, NULL vectors and vectors of another length are neither rows nor queries; a query
     with fewer than ``k`` rows to find gets all of them. Repeated rows count each; a repeated query id counts once
     per distinct code.
     """
     spark = ready(rows.sparkSession)
+    kind = rows.schema[id_column].dataType.simpleString()
     widths = _widths(bits, rows.count())
     m = len(widths)
 
@@ -85,7 +88,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_column: s
     state = saved(
         coded(queries).distinct().select(
             F.col("id").alias("query_id"), F.col("code").alias("query"),
-            F.expr("cast(array() as array<struct<distance:int,id:bigint>>)").alias("best"),
+            F.expr(f"cast(array() as array<struct<distance:int,id:{kind}>>)").alias("best"),
         ),
         "code-queries",
     )
@@ -117,7 +120,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_column: s
         old = state.select("query_id", "query", F.explode_outer("best").alias("b")).select("query_id", "query", "b.distance", "b.id")
         rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.col("distance").asc_nulls_last(), "id"))
         top = old.unionByName(met).withColumn("n", rank).where(F.col("n") <= k)
-        pairs = F.filter(F.collect_list(F.struct("distance", F.col("id").cast("bigint").alias("id"))), lambda x: x["distance"].isNotNull())
+        pairs = F.filter(F.collect_list(F.struct("distance", "id")), lambda x: x["distance"].isNotNull())
         state = saved(top.groupBy("query_id", "query").agg(F.sort_array(pairs).alias("best")), "code-queries")
     return state.select("query_id", F.posexplode("best").alias("n", "b")).select(
         "query_id", (F.col("n") + 1).alias("rank"), F.col("b.id").alias("neighbour_id"), F.col("b.distance").alias("distance")
