@@ -4,10 +4,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowmill.errors import BadEncoding
 from rowmill.operators import sketches
 from rowmill.plans.files import workbook_bytes
+from rowmill.plans.intaking import _arrive
 from rowmill.plans.profiles import profile_file
 from rowmill.session import scratch_dir
 from rowmill.sources.documents import read_document
@@ -108,3 +110,15 @@ def test_each_document_once(spark, tmp_path):
     # Nothing new.
     intake.take_in(intake.arriving_documents(spark, str(inbox)), table, log)
     assert {r["ext"]: r["arrivals"] for r in intake.listed(table).collect()}["csv"] == 3
+
+
+def test_documents_are_written_and_listed_by_a_bounded_number_of_tasks(spark, tmp_path):
+    customers = spark.range(1, 2001).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name"))
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    _arrive(spark, str(tmp_path), str(tmp_path / "inbox"), lambda c: c % 3 != 1)
+    found = spark.read.text(str(tmp_path / "inbox")).select(F.col("_metadata.file_name").alias("f"), "chunk", "value")
+    names = {r["f"].split("-")[1] for r in found.select("f").distinct().collect()}
+    assert len(names) > 1
+    assert found.select("chunk").distinct().count() == found.select("chunk", "f").distinct().count() == 27
+    assert found.count() == customers.where("floor(c_custkey / 50) % 3 <> 1").count()
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 64
