@@ -129,6 +129,10 @@ def _arrivals(spark: SparkSession, folder: str, path: str, parts: range, of: int
     if repeats:
         again = sent.where((F.col("event_id") % 4 == 0) & (F.col("part") < of - 1)).withColumn("part", F.col("part") + 1)
         sent = sent.unionByName(again)
+    # Stored by part, so that each file reads its own events and not all of them.
+    stored = scratch_dir(spark, "sent")
+    sent.where(F.col("part").between(parts.start, parts.stop - 1)).write.partitionBy("part").parquet(stored)
+    sent = spark.read.schema(sent.schema).parquet(stored)
     for i in parts:
         # One file is one batch of the stream.
         sent.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").option("timestampFormat", MICROS).json(path)

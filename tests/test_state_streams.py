@@ -178,6 +178,25 @@ def test_state_goes_when_nothing_is_open(spark):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_runs_share_state_and_timers(spark):
+    """Many runs make no more state keys than buckets; none of their waits is lost, one without an id included."""
+    path, log = scratch_dir(spark, "in"), scratch_dir(spark, "log")
+    runs = [*range(-40, 40), None, 2**62 + 1]
+    arrive(spark, path, [event(r, i, i / 1000, "ask") for i, r in enumerate(runs)], [event(5, 900, 0.9, "done")], [event(9, 999, 20)])
+    stream = E.read_event_stream(spark, path, SCHEMA, files_per_batch=1)
+    out = scratch_dir(spark, "out")
+    with timers.timer_store(spark):
+        found = timers.wait_timers(stream, LIMITS, buckets=7)
+        run = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
+        run.awaitTermination()
+        first = spark.read.format("statestore").option("stateVarName", "open").option("flattenCollectionTypes", "true").option("batchId", 0).load(log)
+        keys = [r["key"][0] for r in first.collect()]
+        assert len(keys) == len(runs) and len(set(keys)) <= 8
+    got = [tuple(r) for r in spark.read.schema(timers.TIMEOUTS).parquet(out).collect()]
+    want = [(r, "ask", START + dt.timedelta(hours=i / 1000), START + dt.timedelta(hours=4 + i / 1000)) for i, r in enumerate(runs) if r != 5]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_events_without_a_time_or_status(spark):
     batches = [[(1, 1, None, "ask"), (1, None, START, None), event(2, 2, 0, "ask")], [event(3, 3, 40)], [event(3, 4, 90)]]
     assert [r[:2] for r in timed(spark, *batches)] == [(2, "ask")]
