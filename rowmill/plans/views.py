@@ -106,11 +106,9 @@ def flat_sales(spark: SparkSession, folder: str) -> DataFrame:
     o = read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"])
     c = read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
     p = read_table(spark, folder, "part", ["p_partkey", "p_name", "p_brand", "p_retailprice"])
-    joined = (
-        l.join(o, l.l_orderkey == o.o_orderkey)
-        .join(c, o.o_custkey == c.c_custkey)
-        .join(p, l.l_partkey == p.p_partkey)
-    )
+    # Items meet only their part before they are joined to whole orders, so they are shuffled twice, and narrow the first time.
+    sold = o.join(c, o.o_custkey == c.c_custkey)
+    joined = l.join(p, l.l_partkey == p.p_partkey).join(sold, l.l_orderkey == o.o_orderkey)
     return joined.select(
         F.col("l_linenumber").alias("linenumber"),
         F.col("l_quantity").alias("quantity"),

@@ -74,3 +74,20 @@ def test_stored_events_shrink_before_the_shuffle(spark, plan):
 
     text = plan(wait_timeouts(V.run_events(spark, FOLDER), ["error"]))
     assert "partial_max" in text and "SessionWindow" not in text
+
+
+def test_flat_items_are_joined_twice(spark):
+    """Orders take in their customers before the items come, so items go through two joins, not three."""
+    plan = V.flat_sales(spark, FOLDER)._jdf.queryExecution().analyzed()
+    joins = []
+
+    def walk(node, above):
+        above += node.nodeName() == "Join"
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if not children and "l_orderkey" in node.toString():
+            joins.append(above)
+        for child in children:
+            walk(child, above)
+
+    walk(plan, 0)
+    assert joins == [2]
