@@ -188,17 +188,25 @@ def profile_columns(df: DataFrame) -> DataFrame:
 def samples(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """``column, rank, value``: first five distinct among the first fifty non-null cells in row order.
 
-    The cells of all columns are stacked in one scan; a rank limit then keeps fifty per column and
-    task, so that the rest works on those rows only.
+    Each task keeps its first fifty rows and sorts no others. Columns with gaps among the first fifty rows are looked at
+    once more, each alone.
     """
     types = dict(df.dtypes)
     names = list(columns or df.columns)
     keys = [F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order)]
     key_names = [f"_o{i}" for i in range(len(order))]
-    cells = [F.struct(F.lit(n).alias("column"), flat_text(F.col(f"`{n}`"), types[n]).alias("value")) for n in names]
-    long = df.select(*keys, F.inline(F.array(*cells))).filter("value IS NOT NULL")
+    rows = df.select(*keys, *(flat_text(F.col(f"`{n}`"), types[n]).alias(f"_c{i}") for i, n in enumerate(names)))
+    head = rows.orderBy(*key_names).limit(SAMPLE_WINDOW)
+    # A row of counts.
+    seen = head.agg(F.count(F.lit(1)).alias("n"), *(F.count(f"_c{i}").alias(f"_c{i}") for i in range(len(names)))).first()
+    gaps = [i for i in range(len(names)) if seen["n"] == SAMPLE_WINDOW > seen[f"_c{i}"]]
+    cells = [F.struct(F.lit(n).alias("column"), F.col(f"_c{i}").alias("value")) for i, n in enumerate(names) if i not in gaps]
+    found = [head.select(*key_names, F.inline(F.array(*cells)))] if cells else []
+    for i in gaps:
+        filled = rows.where(F.col(f"_c{i}").isNotNull()).orderBy(*key_names).limit(SAMPLE_WINDOW)
+        found.append(filled.select(*key_names, F.lit(names[i]).alias("column"), F.col(f"_c{i}").alias("value")))
     place = F.row_number().over(W.partitionBy("column").orderBy(*key_names))
-    heads = long.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_WINDOW)
+    heads = union_all(found).filter("value IS NOT NULL").withColumn("_place", place)
     first = heads.groupBy("column", "value").agg(F.min("_place").alias("at"))
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("column").orderBy("at")))
     return ranked.filter(F.col("rank") <= SAMPLE_LIMIT).select("column", "rank", "value")

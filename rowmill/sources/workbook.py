@@ -194,7 +194,8 @@ def workbook_regions(cells: DataFrame, positions: bool = False) -> tuple[dict[st
     for sheet in dict.fromkeys(r["sheet"] for r in layouts):
         names = list(dict.fromkeys(h for r in layouts if r["sheet"] == sheet for h in r["header"] if h is not None))
         marks = headers.filter(F.col("sheet") == sheet).select(F.col("file").alias("_f"), "header", F.col("row_no").alias("_h"))
-        body = cells.filter(F.col("sheet") == sheet).join(marks, F.col("file") == F.col("_f")).filter("row_no > _h")
+        # A row per file on the side that is hashed; the cells are not sorted to meet it.
+        body = cells.filter(F.col("sheet") == sheet).join(marks.hint("shuffle_hash"), F.col("file") == F.col("_f")).filter("row_no > _h")
         at = F.struct(
             "file", F.col("sheet_no").cast("bigint").alias("block"), F.col("row_no").cast("bigint").alias("row"), F.lit(0).cast("bigint").alias("part")
         )

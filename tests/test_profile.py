@@ -213,3 +213,15 @@ def test_stacked_cells_skip_nulls(spark):
     ids, cells = profile.long_cells({"t": df})
     assert ids == [("t", "a"), ("t", "b")]
     assert cells.filter(F.col("cid") == 0).count() == 1 and cells.count() == 2
+
+
+def test_samples_sort_no_more_than_the_first_rows(spark):
+    """Columns with gaps, one almost empty, against the first fifty filled cells; no task sorts its rows."""
+    rows = [(i, f"v{i % 7}", i if i % 9 == 0 else None, "late" if i == 390 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "at int, full string, some int, rare string").repartition(5)
+    got = profile.samples(df, ["at"], ["full", "some", "rare"])
+    want = {"full": [f"v{i}" for i in range(5)], "some": ["0", "9", "18", "27", "36"], "rare": ["late"]}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((c, n, v) for c, vs in want.items() for n, v in enumerate(vs, 1))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 3
+    assert sorted(profile.samples(df.where("at < 3"), ["at"], ["rare", "full"]).select("column", "value").collect()) == [("full", f"v{i}") for i in range(3)]
