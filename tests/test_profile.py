@@ -225,3 +225,14 @@ def test_samples_sort_no_more_than_the_first_rows(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("TakeOrderedAndProject") == 3
     assert sorted(profile.samples(df.where("at < 3"), ["at"], ["rare", "full"]).select("column", "value").collect()) == [("full", f"v{i}") for i in range(3)]
+
+
+def test_clusters_are_told_from_their_combinations(spark):
+    """Evidence from rows grouped once is that from all rows, gaps and clusters without a key included."""
+    rows = [(i % 6, f"n{i % 6}", None if i % 6 == 3 else "x", i % 4 or None, f"s{i % 4}", i, i % 9) for i in range(90)]
+    df = spark.createDataFrame(rows, "who_id int, who_name string, who_land string, part_no int, part_name string, own_id int, own_kind int")
+    plain, grouped = structure.cluster_evidence(df), structure.cluster_evidence(df, groups=structure.cluster_rows(df))
+    assert sorted(plain.collect()) == sorted(grouped.collect())
+    assert structure.choose_entities(grouped) == structure.choose_entities(plain) == {"who": "who_id", "part": "part_name"}
+    empty = df.where("false")
+    assert sorted(structure.cluster_evidence(empty, groups=structure.cluster_rows(empty)).collect()) == sorted(structure.cluster_evidence(empty).collect())
